@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tallymark.llm import mixing, secrets
+from tallymark.llm import mixing, packing, secrets, sstable
 from tallymark.llm.common import documents
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.digest(documents(spark, sf_dir))
+
+
 def op3_source_mix(spark, sf_dir):
     return mixing.digest(documents(spark, sf_dir))
 
@@ -14,9 +18,15 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op10_sorted_shards(spark, sf_dir):
+    return sstable.digest(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
     "op5_secret_scan": op5_secret_scan,
+    "op10_sorted_shards": op10_sorted_shards,
 }
 
 #: DuckDB SQL where SQL can say it.
