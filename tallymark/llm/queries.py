@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import mixing, packing, secrets, sstable
+from tallymark.llm import fingerprints, mixing, packing, secrets, sstable
 from tallymark.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op6_weighted_fingerprint(spark, sf_dir):
+    return fingerprints.digest(documents(spark, sf_dir))
+
+
 def op10_sorted_shards(spark, sf_dir):
     return sstable.digest(documents(spark, sf_dir))
 
@@ -26,6 +30,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
     "op5_secret_scan": op5_secret_scan,
+    "op6_weighted_fingerprint": op6_weighted_fingerprint,
     "op10_sorted_shards": op10_sorted_shards,
 }
 
