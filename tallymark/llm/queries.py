@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import fingerprints, mixing, neighbours, packing, secrets, sstable
+from tallymark.llm import fingerprints, jaccard_join, mixing, neighbours, packing, secrets, sstable
 from tallymark.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op6_weighted_fingerprint(spark, sf_dir):
     return fingerprints.digest(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.digest(documents(spark, sf_dir))
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return neighbours.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op5_secret_scan": op5_secret_scan,
     "op6_weighted_fingerprint": op6_weighted_fingerprint,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sorted_shards": op10_sorted_shards,
 }
