@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import fingerprints, jaccard_join, mixing, neighbours, packing, secrets, sstable
+from tallymark.llm import fingerprints, jaccard_join, mixing, neighbours, packing, quality, secrets, sstable, toxicity
 from tallymark.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op3_source_mix(spark, sf_dir):
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.digest(documents(spark, sf_dir))
 
@@ -26,6 +30,10 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.digest(documents(spark, sf_dir))
 
 
+def op8_toxicity_chain(spark, sf_dir):
+    return toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return neighbours.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -37,9 +45,11 @@ def op10_sorted_shards(spark, sf_dir):
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
     "op6_weighted_fingerprint": op6_weighted_fingerprint,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sorted_shards": op10_sorted_shards,
 }
