@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tallymark.llm import fingerprints, jaccard_join, mixing, neighbours, packing, quality, secrets, sstable, toxicity
+from tallymark.llm import fingerprints, jaccard_join, lm, mixing, neighbours, packing, quality, secrets, sstable, toxicity
 from tallymark.llm.common import documents
 
 
+def op1_maxent_lm(spark, sf_dir):
+    return lm.digest(documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.digest(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op10_sorted_shards(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
     "op4_quality_classifier": op4_quality_classifier,
