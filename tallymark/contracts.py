@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The contract of an order, group by group.
 ORDER_FIELDS = {
     "order_id": "string",
@@ -70,4 +68,4 @@ LOOKBACK_DAYS = 3
 
 FINDING = "struct<code:string,field:string,value:string,index:int,order_date:string,length:int,max:int>"
 DRIFT = "struct<code:string,field:string,expected:string,actual:string>"
-QUALITY_EVENT = T.StructType.fromDDL(f"id bigint, raw_id bigint, order_id string, event_type string, from_state string, to_state string, rule_version string, event_at timestamp, reason array<{FINDING}>")
+QUALITY_EVENT = f"id bigint, raw_id bigint, order_id string, event_type string, from_state string, to_state string, rule_version string, event_at timestamp, reason array<{FINDING}>"

@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallymark import contracts as C
 from tallymark.functions.text import drop_nul
@@ -19,7 +20,7 @@ from tallymark.functions.text import drop_nul
 _ODD = "__not_finite__"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:
@@ -49,10 +50,17 @@ def kind(v: Column) -> Column:
         .when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
         .when(s == "STRING", "string")
         .when(s.startswith("ARRAY"), "array")
+        .when(F.try_variant_get(v, f"$.{_ODD}", "string").isNotNull(), "number")
         .otherwise("object")
     )
 
 
+def odd_number(x: Column) -> Column:
+    """The non-finite number that the repair of a text has written down, or null."""
+    odd = F.try_variant_get(x, f"$.{_ODD}", "string")
+    return F.when(odd == "NaN", float("nan")).when(odd == "Infinity", float("inf")).when(odd == "-Infinity", float("-inf"))
+
+
 def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -66,9 +74,7 @@ def _read(x: Column, to: str) -> Column:
         d = F.when(k.isin("integer", "number", "string"), text.try_cast("decimal(38,9)")).when(k == "boolean", text.try_cast("boolean").cast("int"))
         return F.when(d == F.floor(d), d.try_cast("bigint"))
     if to == "double":
-        odd = F.try_variant_get(x, f"$.{_ODD}", "string")
-        odd = F.when(odd == "NaN", float("nan")).when(odd == "Infinity", float("inf")).when(odd == "-Infinity", float("-inf"))
-        return F.when(k.isin("integer", "number", "string"), text.try_cast("double")).when(k == "object", odd)
+        return F.coalesce(odd_number(x), F.when(k.isin("integer", "number", "string"), text.try_cast("double")))
     if to == "boolean":
         low = F.lower(text)
         return F.when(low.isin("true", "1", "yes", "on", "t", "y"), True).when(low.isin("false", "0", "no", "off", "f", "n"), False)

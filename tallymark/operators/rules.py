@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark import contracts as C
 from tallymark.functions.text import non_finite, null_sentinels, outside, strip, strip_lower, too_long
-from tallymark.operators.ingest import _ODD, at, kind
+from tallymark.operators.ingest import at, kind, odd_number
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -33,9 +33,7 @@ def finding(code: str, field: str, value: Column, index: Column | None = None, o
 def _number(item: Column, field: str) -> Column:
     """A JSON number (or a repaired non-finite one) as double; a number written as text is not looked at."""
     x = at(item, f"$.{field}")
-    odd = F.try_variant_get(x, f"$.{_ODD}", "string")
-    odd = F.when(odd == "NaN", float("nan")).when(odd == "Infinity", float("inf")).when(odd == "-Infinity", float("-inf"))
-    return F.when(kind(x).isin("integer", "number"), F.try_variant_get(x, "$", "double")).when(kind(x) == "object", odd)
+    return F.coalesce(odd_number(x), F.when(kind(x).isin("integer", "number"), F.try_variant_get(x, "$", "double")))
 
 
 def item_findings(number, index: Column | None) -> Column:

@@ -17,12 +17,12 @@ class MissingDayPredicate(ValueError):
 
 def day_range(at: Column, start: dt.date, end: dt.date | None = None) -> Column:
     """[start, end) in whole days, UTC; the end defaults to the day after."""
-    return (at >= F.lit(start).cast("timestamp")) & (at < F.lit(end or start + dt.timedelta(days=1)).cast("timestamp"))
+    return (at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end or start + dt.timedelta(days=1)).cast("timestamp_ntz"))
 
 
 def lookback(at: Column, as_of: Column, days: int = C.LOOKBACK_DAYS) -> Column:
     """From the start of the day ``days`` before as_of: only whole days, or a day would be replaced by a part of it."""
-    return at >= F.date_trunc("day", as_of) - F.make_dt_interval(F.lit(days))
+    return at >= F.date_sub(F.to_date(as_of), days).cast("timestamp_ntz")
 
 
 def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, day: str = "day") -> DataFrame:
@@ -43,7 +43,7 @@ def watermark(spark: SparkSession, path: str, day: str = "day") -> dt.date | Non
 
 def since(df: DataFrame, at: str, mark: dt.date | None) -> DataFrame:
     """Rows from the watermark's day on (again: late rows of that day must not be lost); all if there is none."""
-    return df if mark is None else df.where(F.col(at) >= F.lit(mark).cast("timestamp"))
+    return df if mark is None else df.where(F.col(at) >= F.lit(mark).cast("timestamp_ntz"))
 
 
 def append_days(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day") -> None:

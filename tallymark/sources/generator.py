@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import contracts as C
+from tallymark.sources.store import stored
 
 
 def draw(seed: int, name: str, *ids: Column) -> Column:
@@ -73,8 +74,10 @@ def land(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw (id, received_at, raw_payload) to landed orders and their initial events: the batch form of the worker."""
     from tallymark.operators import events, ingest, rules
 
-    flat = ingest.drift(ingest.flatten(ingest.parse(raw)))
+    # the flat orders are stored: a filter on what was coerced would otherwise drag the whole reading of the JSON along
+    flat = stored(ingest.flatten(ingest.parse(raw)), "flat-orders")
     good = flat.where("status = 'processed'").withColumnRenamed("id", "raw_id")
-    good = events.first_write(good, "order_id", ["raw_id"]).where("status = 'processed'")
+    good = ingest.drift(events.first_write(good, "order_id", ["raw_id"])).where("status = 'processed'")
     ods = rules.evaluate(rules.normalise(good), F.col("received_at")).withColumn("id", F.col("raw_id")).drop("raw_payload", "v", "status", "error_message")
+    ods = stored(ods, "landed-orders")
     return ods, events.initial_events(ods)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.operators import events, ingest, rules
+from tallymark.sources.store import stored
 
 
 def documents_in(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +21,7 @@ def land_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """One micro-batch to ``root``: orders, events and status of every record, each under a folder named for the batch
     and overwritten if the batch runs again; readers see a batch by its status folder, which is written last."""
     spark = batch.sparkSession
-    flat = ingest.drift(ingest.flatten(ingest.parse(batch.dropDuplicates(["id"])))).withColumnRenamed("id", "raw_id")
+    flat = stored(ingest.flatten(ingest.parse(batch.dropDuplicates(["id"]))), "flat-batch").withColumnRenamed("id", "raw_id")
     good = flat.where("status = 'processed'")
     try:
         before = spark.read.parquet(f"{root}/orders").where(F.col("batch") < batch_id)
@@ -29,15 +30,14 @@ def land_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         good = events.first_write(good, "order_id", ["received_at", "raw_id"])
-    good = good.persist()
-    try:
-        ods = rules.evaluate(rules.normalise(good.where("status = 'processed'")), F.col("received_at")).withColumn("id", F.col("raw_id"))
-        ods = ods.withColumn("items", F.to_json("items")).drop("raw_payload", "v", "status", "error_message")
-        status = good.select("raw_id", "order_id", "status", "error_message").unionByName(flat.where("status = 'error'").select("raw_id", "order_id", "status", "error_message"))
-        for name, df in (("orders", ods), ("quality_events", events.initial_events(ods)), ("status", status)):
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-    finally:
-        good.unpersist()
+    good = stored(good, "judged-batch")
+    ods = rules.evaluate(rules.normalise(ingest.drift(good.where("status = 'processed'"))), F.col("received_at")).withColumn("id", F.col("raw_id"))
+    ods = ods.drop("raw_payload", "v", "status", "error_message")
+    status = good.select("raw_id", "order_id", "status", "error_message").unionByName(flat.where("status = 'error'").select("raw_id", "order_id", "status", "error_message"))
+    written = f"{root}/orders/batch={batch_id}"
+    ods.write.mode("overwrite").parquet(written)
+    events.initial_events(spark.read.parquet(written)).write.mode("overwrite").parquet(f"{root}/quality_events/batch={batch_id}")
+    status.write.mode("overwrite").parquet(f"{root}/status/batch={batch_id}")
 
 
 def land_stream(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
