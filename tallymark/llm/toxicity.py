@@ -4,8 +4,8 @@ The categories are predicted one after the other by linear models; each model se
 probabilities of the categories before it. In training these probabilities are out of fold (each row's come from
 models that have not seen it), so that a later model meets the same errors as in use.
 
-Features: numbers on how the whole text is written (``style``) and the presence of words and word beginnings, hashed;
-of the hashed ones the most telling are kept for each category (by likelihood ratio). The labels hold two marks, so the
+Features: the presence of words and word beginnings, hashed, of which the most telling are kept for each category (by
+likelihood ratio), and, for low quality, numbers on how the whole text is written (``style``). The labels hold two marks, so the
 chain runs: low quality, toxic, both. A text is toxic if its probability of "toxic" is at least ``THRESHOLD``.
 
 The fit runs on at most ``ROWS`` labelled rows (lowest hash of the id; exact copies once), all texts are scored in one
@@ -32,6 +32,9 @@ from tallymark.llm.style import N_PLAIN, expand, style
 
 ROWS, FOLDS, KEPT, SPACE, THRESHOLD = 8_000, 5, 256, 1 << 18, 0.5
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+#: Categories that the way of writing tells. What is said makes a text toxic: there its style would only mislead where
+#: it is unlike any text that was learned from.
+STYLED = (True, False, False)
 _EDGES = ".,;:!?*#$%&|\"'()[]"
 
 
@@ -99,11 +102,12 @@ def fit_chain(plain: np.ndarray, features: list[np.ndarray], marks: dict[str, np
     """plain: style numbers; features: each row's buckets; marks: 0/1 for each category in order; fold: 0..FOLDS-1."""
     x = expand(plain)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    dense = np.c_[np.ones(len(x)), np.clip((x - mean) / spread, -8, 8)]
+    styled, earlier = np.clip((x - mean) / spread, -8, 8), np.ones((len(x), 1))
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     buckets = np.concatenate([*features, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     kept, weights = [], []
-    for y in marks.values():
+    for y, with_style in zip(marks.values(), STYLED, strict=True):
+        dense = np.c_[earlier, styled] if with_style else earlier
         mine = _telling(rows, buckets, y)
         column = np.full(SPACE, -1)
         column[list(mine)] = list(mine.values())
@@ -117,19 +121,20 @@ def fit_chain(plain: np.ndarray, features: list[np.ndarray], marks: dict[str, np
                 apart[out] = _sigmoid(part.take(out).dot(_fit(part.take(within), y[within], KEPT)))
         kept.append(mine)
         weights.append(_fit(part, y, KEPT))
-        dense = np.c_[dense, apart]
+        earlier = np.c_[earlier, apart]
     return Model(mean, spread, kept, weights)
 
 
 def predict(model: Model, plain: np.ndarray, present: list[list[list[int]]]) -> np.ndarray:
     """A row for each text, a column for each category. present: each text's kept columns, by category."""
-    x = np.clip((expand(plain) - model.mean) / model.spread, -8, 8)
-    dense, out = np.c_[np.ones(len(x)), x], []
+    styled = np.clip((expand(plain) - model.mean) / model.spread, -8, 8)
+    earlier, out = np.ones((len(styled), 1)), []
     for c, w in enumerate(model.weights):
+        dense = np.c_[earlier, styled] if STYLED[c] else earlier
         d = dense.shape[1]
         z = dense @ w[:d] + np.array([w[d:][p[c]].sum() if p[c] else 0.0 for p in present])
         out.append(_sigmoid(z))
-        dense = np.c_[dense, out[-1]]
+        earlier = np.c_[earlier, out[-1]]
     return np.stack(out, axis=1)
 
 
