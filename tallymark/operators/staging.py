@@ -62,6 +62,16 @@ def _by_day(df: DataFrame, at: str, cluster: list[str], day: str) -> DataFrame:
     return df.repartition(day, F.pmod(F.xxhash64(*cluster[:1]), F.lit(8))).sortWithinPartitions(day, *cluster)
 
 
+def expire_days(spark: SparkSession, path: str, before: dt.date, day: str = "day") -> list[dt.date]:
+    """Deletes the partitions of days before the given one; returns these days. Null days stay."""
+    old = [r[0] for r in spark.read.parquet(path).where(F.col(day) < F.lit(before)).select(day).distinct().orderBy(day).collect()]  # a row a day
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={d.isoformat()}"), True)
+    return old
+
+
 def reconcile(left: DataFrame, right: DataFrame, at: str, key: str) -> DataFrame:
     """Days on which the distinct keys of left and the rows of right differ."""
     a = left.groupBy(F.to_date(at).alias("day")).agg(F.countDistinct(key).alias("left_keys"))

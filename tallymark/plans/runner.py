@@ -158,6 +158,17 @@ def layers(as_of=None) -> list[Layer]:
     return [staging, intermediate, marts, reports]
 
 
+#: Tables stored by day of the order; large days are split over tasks, small ones share them.
+BY_DAY = {"fct_orders": "order_date", "fct_order_items": "order_date", "rpt_sales_daily_by_category": "order_date"}
+
+
+def store(df: DataFrame, path: str, day: str | None = None) -> None:
+    if day is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+
+
 def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None) -> tuple[Tables, dict[str, str]]:
     """Builds every layer under ``root`` and tests it before the next. Returns the tables and each test's outcome;
     raises CheckFailed after all of a layer's tests ran, if one of severity error found rows."""
@@ -165,7 +176,7 @@ def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None
     for layer in plan or layers():
         for name, model in layer.models.items():
             path = f"{root}/{name}"
-            model(tables).write.mode("overwrite").parquet(path)
+            store(model(tables), path, BY_DAY.get(name))
             tables[name] = spark.read.parquet(path)
         failed = []
         for check in layer.checks:

@@ -101,6 +101,8 @@ def test_staging_by_days(spark, tmp_path):
     assert staging.reconcile(df, whole.where("id <> 5"), "at", "id").count() == 1
     one = staging.read_days(spark, path, dt.date(2024, 1, 3))
     assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().toString() and one.count() == 80
+    assert staging.expire_days(spark, path, dt.date(2024, 1, 3)) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    assert staging.read_days(spark, path, dt.date(2024, 1, 1), dt.date(2024, 2, 1)).count() == 640
     assert staging.since(df, "at", dt.date(2024, 1, 10)).count() == 80
 
 
