@@ -83,13 +83,13 @@ def _read(x: Column, to: str) -> Column:
 
 def flatten(parsed: DataFrame) -> DataFrame:
     """parsed (with ``v``) to flat columns, ``items`` (array of VARIANT), ``status`` and ``error_message``."""
-    v, fields, unread = F.col("v"), [], []
-    for name, (path, to) in C.FLAT.items():
-        x = at(v, path)
-        fields.append(_read(x, to).alias(name))
-        unread.append(F.when(~kind(x).isin("null") & _read(x, to).isNull(), F.lit(name)))
+    v = F.col("v")
     items = at(v, "$.items")
-    df = parsed.select("*", *fields, F.try_variant_get(v, "$.items", "array<variant>").alias("items"), F.array_compact(F.array(*unread)).alias("_unread"), kind(v).alias("_kind"), kind(items).alias("_items"))
+    # in steps, so that each value is taken from the document once and read once
+    df = parsed.select("*", *[at(v, path).alias(f"_x_{name}") for name, (path, _) in C.FLAT.items()], F.try_variant_get(v, "$.items", "array<variant>").alias("items"), kind(v).alias("_kind"), kind(items).alias("_items"))
+    df = df.select(*parsed.columns, *[_read(F.col(f"_x_{name}"), to).alias(name) for name, (_, to) in C.FLAT.items()], "items", "_kind", "_items", *[F.col(f"_x_{name}") for name in C.FLAT])
+    unread = [F.when(F.col(name).isNull() & F.col(f"_x_{name}").isNotNull() & ~F.is_variant_null(f"_x_{name}"), F.lit(name)) for name in C.FLAT]
+    df = df.withColumn("_unread", F.array_compact(F.array(*unread))).drop(*[f"_x_{name}" for name in C.FLAT])
     odd_items = ~F.col("_items").isin("array", "null") | F.coalesce(F.exists("items", lambda i: kind(i) != "object"), F.lit(False))
     message = (
         F.when(F.col("v").isNull(), "malformed JSON")
