@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -10,18 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z only; every other code point stays."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text)
+    """The words of the text; bytes are split at just the white space that ends a word."""
+    parts = text.encode("utf-8", "surrogatepass").split()
+    return b" ".join(parts).decode("utf-8", "surrogatepass").split(" ") if parts else []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
