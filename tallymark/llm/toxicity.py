@@ -30,7 +30,7 @@ from tallymark.llm.common import crc_mod, lower_ascii, words
 from tallymark.llm.quality import _sigmoid
 from tallymark.llm.style import N_PLAIN, expand, style
 
-ROWS, FOLDS, KEPT, SPACE, THRESHOLD = 8_000, 5, 256, 1 << 18, 0.5
+ROWS, FOLDS, KEPT, SPACE, THRESHOLD = 6_000, 5, 256, 1 << 18, 0.5
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 #: Categories that the way of writing tells. What is said makes a text toxic: there its style would only mislead where
 #: it is unlike any text that was learned from.
@@ -98,18 +98,17 @@ def _telling(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray) -> dict[int,
     return {int(b): i for i, b in enumerate(best)}
 
 
-def fit_chain(plain: np.ndarray, features: list[np.ndarray], marks: dict[str, np.ndarray], fold: np.ndarray) -> Model:
-    """plain: style numbers; features: each row's buckets; marks: 0/1 for each category in order; fold: 0..FOLDS-1."""
+def fit_chain(plain: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, marks: dict[str, np.ndarray], fold: np.ndarray) -> Model:
+    """plain: style numbers; buckets: those of all rows, one row after the other, sizes of them a row; marks: 0/1 for each category in order; fold: 0..FOLDS-1."""
     x = expand(plain)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     styled, earlier = np.clip((x - mean) / spread, -8, 8), np.ones((len(x), 1))
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    buckets = np.concatenate([*features, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     kept, weights = [], []
     for y, with_style in zip(marks.values(), STYLED, strict=True):
         dense = np.c_[earlier, styled] if with_style else earlier
         mine = _telling(rows, buckets, y)
-        column = np.full(SPACE, -1)
+        column = np.full(SPACE, -1, dtype=np.int32)
         column[list(mine)] = list(mine.values())
         use = column[buckets] >= 0
         part = _Part(dense, rows[use], column[buckets[use]])
@@ -172,13 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model | None:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "same", "x", "f"])
 
     picked = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "toxic", "text")  # broadcast: at most ROWS rows
-    got = picked.mapInArrow(rows, "doc_id bigint, quality int, toxic int, same bigint, x array<double>, f array<int>").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates("same")
-    if not len(got):
+    # kept as Arrow arrays: as Python objects the features would fill the driver
+    got = picked.mapInArrow(rows, "doc_id bigint, quality int, toxic int, same bigint, x array<double>, f array<int>").toArrow().sort_by("doc_id")
+    if not got.num_rows:
         return None
-    low, toxic = (got["quality"].to_numpy() == 0).astype(float), (got["toxic"].to_numpy() == 1).astype(float)
-    fold = (got["same"].to_numpy() >> 7) % FOLDS
-    return fit_chain(np.array(got["x"].tolist()), [np.asarray(f) for f in got["f"]], dict(zip(CATEGORIES, (low, toxic, low * toxic), strict=True)), fold)
+    _, first = np.unique(got["same"].to_numpy(), return_index=True)
+    got = got.take(pa.array(np.sort(first))).combine_chunks()
+    number = lambda c: got[c].to_numpy()
+    low, toxic = (number("quality") == 0).astype(float), (number("toxic") == 1).astype(float)
+    flat = lambda c: pa.concat_arrays([x.flatten() for x in got[c].chunks]).to_numpy()
+    sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in got["f"].chunks])
+    return fit_chain(flat("x").reshape(-1, N_PLAIN), flat("f"), sizes, dict(zip(CATEGORIES, (low, toxic, low * toxic), strict=True)), (number("same") >> 7) % FOLDS)
 
 
 def _probabilities(model: Model | None) -> Callable[[list[str | None]], np.ndarray]:
