@@ -4,7 +4,7 @@ Each half of the vectors is quantised by a codebook of its own; an entry's cell
 query scores both codebooks and walks the grid of cells by falling sum of the two scores with a heap, until the cells
 visited hold the wanted share of all entries; those entries are reranked by the exact inner product.
 
-In Spark: codebooks are fitted on at most ``SAMPLE`` vectors (lowest hash of the id); every vector is assigned its cell
+In Spark: codebooks are fitted on at most ``SAMPLE`` vectors (lowest hash of id and vector); every vector is assigned its cell
 in one map; the cells' counts (a grid of fixed size) and the codebooks go to the tasks that walk. Rows of the grid are
 dealt to bands, bands to blocks of about ``BLOCK`` entries and queries to chunks of as many, so that a cell with a
 third of all entries is no task's burden; a block returns the best of each of its queries and a window over these
@@ -14,13 +14,15 @@ gives the final ranks.
 51,282 of them a walk over 0.1 of the entries finds about half of the 20 nearest, 0.4 finds 0.91, 0.6 finds 0.97.
 
 Defined results: null, zero, null-holding and non-finite vectors, those whose length is not the commonest one, and
-rows without an id take no part; rows that repeat an id are one entry (by its best vector); ties go to the smaller id;
+rows without an id take no part; rows that repeat an id and its vector are one entry, merged before the index is made,
+and of several vectors of an id each query counts the best; ties go to the smaller id;
 fewer candidates than wanted are all returned; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,13 +80,15 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: floa
 def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, by inner product."""
     v = F.col(f"`{vector}`")
-    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
     slim = slim.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", bad))
     width = slim.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = width[0] if width else 0
-    slim = slim.where(F.size("v") == width)
-    sample = _matrix(slim.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"], width)
+    # repeats are merged before each shuffle; the blocks, the cells' counts and the codebooks meet a row's copies once
+    slim = staged(slim.where(F.size("v") == width).groupBy("id", "v").agg(F.max("q").alias("q")), "index-vectors")
+    slim = slim.withColumn("v", F.col("v").cast("array<double>"))
+    sample = _matrix(slim.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toPandas()["v"], width)
     cut = width // 2
     c1, c2 = codebook(sample[:, :cut], CENTROIDS), codebook(sample[:, cut:], CENTROIDS)
 
@@ -113,17 +117,18 @@ def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_
                 for b in range(BANDS):
                     mine = marks[b * rows_a_band : (b + 1) * rows_a_band]
                     if mine.any():
-                        out += [(b, s, qid % chunks, qid, vec, np.packbits(mine).tobytes()) for s in range(blocks[b])]
+                        out += [(b, s, zlib.crc32(vec.tobytes()) % chunks, qid, vec, np.packbits(mine).tobytes()) for s in range(blocks[b])]
             yield pd.DataFrame(out, columns=["band", "block", "chunk", "id", "v", "marks"])
 
     asked = entries.where("q").mapInPandas(walks, "band int, block int, chunk int, id bigint, v array<double>, marks binary")
     sizes = F.array(*[F.lit(b) for b in blocks])
     band = F.floor(F.col("i") / rows_a_band).cast("int")
-    stored = entries.select(band.alias("band"), F.pmod(F.xxhash64("id"), sizes[band]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v", (F.col("i") % rows_a_band).alias("i"), "j")
+    stored = entries.select(band.alias("band"), F.pmod(F.xxhash64("id", "v"), sizes[band]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v", (F.col("i") % rows_a_band).alias("i"), "j")
     n_cells = rows_a_band * len(c2)
 
     def rerank(store: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         found = []
+        store = store.sort_values("id", kind="stable")
         x, ids = _matrix(store["v"], width), store["id"].to_numpy()
         cell = store["i"].to_numpy() * len(c2) + store["j"].to_numpy()
         for qid, vec, marks in zip(ask["id"], _matrix(ask["v"], width), ask["marks"], strict=True):
@@ -131,7 +136,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_
             some = np.flatnonzero((seen[np.minimum(cell, len(seen) - 1)] > 0) & (ids != qid))
             if len(some) > 4 * k:
                 rough = x[some] @ vec
-                some = some[rough >= np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k] - 1e-9 * (1 + np.abs(rough).max())]
+                best = np.maximum.reduceat(rough, np.flatnonzero(np.r_[True, np.diff(ids[some]) != 0]))  # of each id
+                if len(best) > 2 * k:
+                    some = some[rough >= np.partition(best, len(best) - 2 * k)[len(best) - 2 * k] - 1e-9 * (1 + np.abs(rough).max())]
             score = (x[some] * vec).sum(axis=1)
             best, had = [], set()
             for o in np.lexsort((ids[some], -score)):
