@@ -33,23 +33,40 @@ PLAIN = _pieces(r"\t-\r ", "", "")
 
 
 class Encoder:
-    """``keep``: pieces remembered by one worker; beyond that it starts anew."""
+    """``keep``: pieces remembered by one worker; beyond that it starts anew. ``special``: the file's added tokens, where
+    a text names them, are their ids, as by the library's default; else their names are ordinary text."""
 
-    def __init__(self, path: str, keep: int = 800_000, longest: int = 64) -> None:
+    def __init__(self, path: str, keep: int = 800_000, longest: int = 64, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # pieces are ordinary text
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if special else {}
+        self.split = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")").split if added else None
+        self.added, self.added_ids = added, {i: np.array([i], "<u4").tobytes() for i in added.values()}
         self.cut = GLUED if self.tokenizer.normalizer is None else PLAIN
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.keep, self.longest, self.ids = keep, longest, {}
+        self.keep, self.longest, self.ids = keep, longest, dict(self.added_ids)
+
+    def _cut(self, text: str) -> list[str | int]:
+        """The pieces of a text; an added token is its id."""
+        cut = self.cut.findall
+        if self.split is None or not any(c in text for c in self.added):
+            return cut(lower_ascii(text) if self.folds else text)
+        out: list[str | int] = []
+        for k, part in enumerate(self.split(text)):
+            if k % 2:
+                out.append(self.added[part])
+            else:
+                out += cut(lower_ascii(part) if self.folds else part)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.ids) > self.keep:
-            self.ids = {}
-        known, cut = self.ids, self.cut.findall
-        pieces = [cut(lower_ascii(t) if self.folds else t) for t in texts]
+            self.ids = dict(self.added_ids)
+        known = self.ids
+        pieces = [self._cut(t) for t in texts]
         new = list({p for ps in pieces for p in ps if p not in known})
         odd = {}  # long pieces rarely come again: not kept
         for i in range(0, len(new), 4096):
@@ -66,7 +83,7 @@ def encoder(path: str) -> Encoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 def batches_of(texts: list[str | None], chars: int = 2_000_000):
