@@ -6,7 +6,8 @@ going below zero (when it would, the step goes the other way). The loss is logis
 the probability of label 1. The prior is estimated as the share of label 1 among the labelled training rows.
 
 Inputs are numbers on how the whole text is written (``style``); labels, language, source and id are none. The fit runs
-on at most ``POSITIVES`` positives and ``UNLABELLED`` other rows (lowest hash of the id), all texts are scored in one map.
+on at most ``POSITIVES`` positives and ``UNLABELLED`` other rows (lowest hash of the id; a repeated row once, and so many rows at most
+where ids have several texts), all texts are scored in one map.
 
 Defined results: null and empty texts are scored like any other (by the mark for emptiness); repeated rows each get
 their score; without positives or unlabelled rows every score is the prior; an empty table gives none.
@@ -69,9 +70,14 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", folds: int
     total = marks.agg(F.avg(F.col(mark).cast("double"))).first()[0]
     prior = 0.5 if total is None else float(total)
     trusted = marks.where(F.col(mark) == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).select("doc_id")
-    others = docs.where(crc_mod("doc_id", folds) != 0).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(UNLABELLED)
+    others = docs.where(crc_mod("doc_id", folds) != 0).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(UNLABELLED)
     ids = trusted.withColumn("s", F.lit(1)).unionByName(others.withColumn("s", F.lit(0)))  # bounded: POSITIVES + UNLABELLED ids
-    picked = styles(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "s", "text"), "doc_id bigint, s int").toPandas().sort_values(["s", "doc_id"])
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "s", "text", F.xxhash64("text").alias("th"))
+    keys = rows.select("doc_id", "s", "th").distinct()
+    least = lambda s, most: keys.where(F.col("s") == s).orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th").limit(most)
+    keys = least(1, POSITIVES).unionByName(least(0, UNLABELLED))  # the rows that go to the driver
+    rows = rows.join(F.broadcast(keys), ["doc_id", "s", "th"]).dropDuplicates(["doc_id", "s", "th"])
+    picked = styles(rows.select("doc_id", "s", "text"), "doc_id bigint, s int").toPandas().sort_values(["s", "doc_id"])
     x = expand(np.array(picked["x"].tolist(), dtype=float)) if len(picked) else np.zeros((0, 3 * N_PLAIN))
     known = picked["s"].to_numpy() == 1
     if not known.any() or known.all():

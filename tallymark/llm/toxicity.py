@@ -8,7 +8,8 @@ Features: the presence of words and word beginnings, hashed, of which the most t
 likelihood ratio), and, for low quality, numbers on how the whole text is written (``style``). The labels hold two marks, so the
 chain runs: low quality, toxic, both. A text is toxic if its probability of "toxic" is at least ``THRESHOLD``.
 
-The fit runs on at most ``ROWS`` labelled rows (lowest hash of the id; exact copies once), all texts are scored in one
+The fit runs on at most ``ROWS`` labelled rows (lowest hash of the id, then of the text where ids have several; exact
+copies once), all texts are scored in one
 map, whole, without a shuffle.
 
 Defined results: null and empty texts have no words and are scored by their emptiness; repeated rows each get their
@@ -170,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model | None:
             columns = [batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2).cast(pa.int32()), pa.array(same, pa.int64()), pa.array([style(t) for t in texts], pa.list_(pa.float64())), pa.array(buckets, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "same", "x", "f"])
 
-    picked = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "toxic", "text")  # broadcast: at most ROWS rows
+    picked = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "toxic", "text", F.xxhash64("text").alias("th"))  # broadcast: at most ROWS rows
+    keys = picked.select("doc_id", "th").distinct().orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th").limit(ROWS)  # the rows that go to the driver
+    picked = picked.join(F.broadcast(keys), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "quality", "toxic", "text")
     # kept as Arrow arrays: as Python objects the features would fill the driver
     got = picked.mapInArrow(rows, "doc_id bigint, quality int, toxic int, same bigint, x array<double>, f array<int>").toArrow().sort_by("doc_id")
     if not got.num_rows:
