@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset a local session gets a temporary folder; on a cluster executors would
+    each write to their own disk, so there it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallymark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
