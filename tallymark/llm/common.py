@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.sources.store import stage_root, stored
+
+__all__ = ["WORD_SQL", "crc_mod", "documents", "lower_ascii", "only", "stage_root", "staged", "words"]
+
 #: A word is a run of anything but ASCII white space.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -32,24 +33,10 @@ def crc_mod(column: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallymark-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later steps neither recompute it nor depend on
     an executor that may be lost."""
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
