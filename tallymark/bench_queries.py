@@ -18,6 +18,7 @@ from tallymark.operators import events as E
 from tallymark.operators import ingest, rules, staging
 from tallymark.plans import checks as K
 from tallymark.plans import gold as G
+from tallymark.plans import reevaluation as V
 from tallymark.plans import reports as R
 from tallymark.sources import generator
 from tallymark.sources.store import stage_root, stored
@@ -32,7 +33,9 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {VIEWS.strip()}{sql}" if sql.startswith(",") else f"WITH {VIEWS.strip()} {sql}"
+            views, recursive = VIEWS.strip(), sql.startswith(", RECURSIVE")
+            sql = sql.replace(", RECURSIVE", ",", 1)
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{views}{sql}" if sql.startswith(",") else f"WITH {views} {sql}"
         return f
 
     return add
@@ -211,11 +214,12 @@ def effective_state_quarantine(spark, d):
     return E.quarantine_side(states(spark, d)).select("raw_id", "order_id", "effective_quality_state", "quarantined_at")
 
 
-@query("""SELECT CASE WHEN fine THEN 'clean' ELSE 'quarantine' END AS side, count(*) AS orders, CAST(0 AS BIGINT) AS broken FROM states GROUP BY 1""")
+@query("""SELECT raw_id, CASE WHEN raw_id % 10 = 0 THEN 2 END AS appearances FROM states WHERE (fine AND raw_id % 10 = 0) OR (NOT fine AND raw_id % 9 = 0)""")
 def split_is_partition(spark, d):
+    """The test of the split on sides that were tampered with: a tenth of the clean orders twice, some quarantined ones lost."""
     s = states(spark, d)
-    broken = K.split_is_partition(orders(spark, d), E.clean_side(s), E.quarantine_side(s)).agg(F.count(F.lit(1)).alias("broken"))
-    return s.groupBy(F.when(F.col("is_effectively_clean"), "clean").otherwise("quarantine").alias("side")).agg(F.count(F.lit(1)).alias("orders")).crossJoin(broken)  # one row
+    clean, other = E.clean_side(s).select("raw_id"), E.quarantine_side(s).select("raw_id")
+    return K.split_is_partition(orders(spark, d), clean.unionAll(clean.where("raw_id % 10 = 0")), other.where("raw_id % 9 <> 0"))
 
 
 @query("""SELECT CAST(event_at AS DATE) AS event_date, rule_version, count(*) AS events, count(*) FILTER (event_type = 'initial_evaluation') AS initial_evaluations,
@@ -359,14 +363,12 @@ def reeval_plan(spark, d):
     s = states(spark, d)
     message = F.array(F.named_struct(F.lit("code"), F.when(F.col("raw_id") % 11 == 0, C.NON_FINITE_NUMBER).otherwise(C.AGE_OUT_OF_RANGE)))
     s = s.withColumn("clean_error_message", message).withColumn("new_codes", F.when(F.col("raw_id") % 3 == 0, F.array(F.lit(C.AGE_OUT_OF_RANGE))))
-    found = E.candidates(E.clean_side(s), E.quarantine_side(s))
-    return E.plan_events(found, quality_events(spark, d), F.lit(AS_OF.isoformat(" ")).cast("timestamp_ntz")).select("raw_id", "order_id", "event_type", "from_state", "to_state")
+    return E.plan_events(E.candidates(s), F.lit(AS_OF.isoformat(" ")).cast("timestamp_ntz")).select("raw_id", "order_id", "event_type", "from_state", "to_state")
 
 
 @query("SELECT raw_id, order_id, effective_quality_state FROM states WHERE has_clean_error AND effective_quality_state <> 'permanently_rejected' ORDER BY raw_id LIMIT 100")
 def candidates_topn(spark, d):
-    s = states(spark, d)
-    return E.candidates(E.clean_side(s), E.quarantine_side(s), 100).select("raw_id", "order_id", "effective_quality_state")
+    return E.candidates(states(spark, d), 100).select("raw_id", "order_id", "effective_quality_state")
 
 
 @query("SELECT e.raw_id, e.event_at, date_diff('microsecond', o.received_at, e.event_at) AS off_microseconds FROM ord o JOIN ev e ON o.raw_id = e.raw_id AND e.event_type = 'initial_evaluation' WHERE o.received_at <> e.event_at")
@@ -437,29 +439,93 @@ def payload_drift(spark, d):
     return df.select("id", F.nullif(found, F.lit("")).alias("found"))
 
 
-@query()
+def order_documents(spark, d):
+    """Every order of the table and its items as JSON, some of which the rules find fault with."""
+    i = items(spark, d)
+    each = F.struct("item_index", F.struct(F.struct("product_id").alias("product"), "quantity", *[F.col(c).cast("double").alias(c) for c in ("unit_price", "cost_price", "discount_pct", "shipping_fee")]).alias("i"))
+    o = orders(spark, d).join(i.groupBy("raw_id").agg(F.sort_array(F.collect_list(each)).alias("items")), "raw_id", "left")
+    k = F.col("raw_id")
+    tax = F.when(k % 7 == 0, 120.0).otherwise(F.when(k % 2 == 0, 5.0))
+    return o.select(
+        k.alias("id"),
+        F.col("received_at").cast("timestamp").alias("received_at"),
+        F.to_json(
+            F.struct(
+                "order_id", F.col("order_date").cast("string").alias("order_date"), "returned",
+                F.struct("customer_id", F.when(k % 23 == 0, 200).alias("age")).alias("customer"), F.struct(tax.alias("tax_pct")).alias("payment"), F.transform("items", lambda x: x["i"]).alias("items"),
+            )
+        ).alias("raw_payload"),
+    )
+
+
+@query(f"""SELECT CASE WHEN o.raw_id % 7 = 0 OR o.raw_id % 23 = 0 THEN 'quarantined' ELSE 'clean' END AS effective_quality_state, count(*) AS orders, CAST(sum(coalesce(item_count, 0)) AS BIGINT) AS items,
+  CAST(sum(gross_amount) AS DOUBLE) AS gross_amount, CAST(sum(net_amount) AS DOUBLE) AS net_amount FROM ord o LEFT JOIN (SELECT raw_id, count(*) AS item_count, sum(gross_amount) AS gross_amount, sum(net_amount) AS net_amount FROM amounts GROUP BY 1) r ON o.raw_id = r.raw_id GROUP BY 1""")
 def gold_from_generated(spark, d):
-    """Generated orders through landing, states and facts: orders, items and net by state (rows-only)."""
-    n = table(spark, d, "orders").count()
-    ods, log = generator.land(generator.orders(spark, max(200, n // 20), seed=5))
+    """All orders as documents through landing, states and facts: orders, items and sums by state."""
+    ods, log = generator.land(order_documents(spark, d))
     s = E.with_effective_state(G.dedup_orders(ods), G.dedup_events(log))
     rolled = G.with_rollup(s.drop("items"), G.order_items(s))
-    return rolled.groupBy("effective_quality_state").agg(F.count(F.lit(1)).alias("orders"), F.sum("item_count").alias("items"), F.sum("net_amount").cast("double").alias("net_amount"))
+    return money(rolled.groupBy("effective_quality_state").agg(F.count(F.lit(1)).alias("orders"), F.sum("item_count").alias("items"), F.sum("gross_amount").alias("gross_amount"), F.sum("net_amount").alias("net_amount")), "gross_amount", "net_amount")
 
 
-@query()
+@query("""SELECT 'processed' AS status, count(*) AS records, count(*) FILTER (raw_id % 7 = 0 OR raw_id % 23 = 0) AS dirty FROM ord UNION ALL SELECT 'duplicate', count(*) FILTER (raw_id % 5 = 0), 0 FROM ord UNION ALL SELECT 'error', count(*) FILTER (raw_id % 11 = 0), 0 FROM ord""")
 def stream_ingest(spark, d):
-    """Generated documents landed by a stream, batch by batch; status counts (rows-only)."""
+    """All orders as documents landed by a stream in several batches, a fifth of them twice, some broken: statuses."""
     root = f"{stage_root(spark)}/stream-{dt.datetime.now().timestamp():.6f}"
-    generator.orders(spark, 300, seed=9).select(F.col("raw_payload").alias("value")).repartition(3).write.text(f"{root}/in")
-    S.land_stream(S.documents_in(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out/status").groupBy("status").agg(F.count(F.lit(1)).alias("records"))
+    docs = order_documents(spark, d).select("id", "raw_payload")
+    again = docs.where("id % 5 = 0").withColumn("raw_payload", F.regexp_replace("raw_payload", "^.", '{"ship_mode":"again",'))
+    broken = docs.where("id % 11 = 0").withColumn("raw_payload", F.concat(F.lit("{"), F.substring("raw_payload", 1, 40)))
+    for n, part in enumerate((docs, again.unionByName(broken))):
+        part.select(F.col("raw_payload").alias("value")).write.mode("append").text(f"{root}/in")
+        S.land_stream(S.documents_in(spark, f"{root}/in", maxFilesPerTrigger="100"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    status, ods = S.landed(spark, f"{root}/out", "status"), S.landed(spark, f"{root}/out", "orders").select("raw_id", "has_clean_error")
+    return status.join(ods, "raw_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_clean_error").alias("dirty"))
+
+
+@query("""SELECT raw_id, order_id, CASE WHEN raw_id % 7 = 0 THEN 're_quarantination' ELSE 're_evaluation' END AS event_type, CASE WHEN raw_id % 3 = 0 THEN 'promoted' ELSE 'quarantined' END AS from_state,
+  CASE WHEN raw_id % 7 = 0 THEN 're_quarantined' ELSE 'promoted' END AS to_state, CASE WHEN raw_id % 7 = 0 THEN 'tax_pct_out_of_range' END AS reason
+  FROM ord WHERE (raw_id % 7 = 0 AND raw_id % 3 = 0) OR (raw_id % 7 <> 0 AND raw_id % 23 = 0 AND raw_id % 3 <> 0)""")
+def reevaluate_orders(spark, d):
+    """All orders judged, a third of the dirty ones promoted by hand, the rule on age relaxed, the rules run again; the log
+    is written and read back, and a second run finds nothing to add."""
+    ods, log = generator.land(order_documents(spark, d))
+    by_hand = log.where("to_state = 'quarantined' and raw_id % 3 = 0").withColumns({"id": -F.col("id"), "to_state": F.lit(C.PROMOTED), "event_at": F.expr("event_at + interval 1 day")})
+    path = f"{stage_root(spark)}/log-{dt.datetime.now().timestamp():.6f}"
+    keep = ["id", "raw_id", "order_id", "event_type", "from_state", "to_state", "rule_version", "event_at", "reason"]
+    log.select(*keep).unionByName(by_hand.select(*keep)).write.parquet(path)
+    for day in (30, 31):
+        V.reevaluate(ods, spark.read.parquet(path), path, F.lit(dt.datetime(2030, 1, day)), dry_run=False, expect_version=C.RULE_VERSION, age_high=250)
+    done = spark.read.parquet(path).where("event_at >= '2030-01-01'")
+    return done.select("raw_id", "order_id", "event_type", "from_state", "to_state", F.nullif(F.array_join(rules.codes(F.col("reason")), ","), F.lit("")).alias("reason"))
+
+
+@query("""SELECT raw_id AS id, CASE WHEN raw_id % 17 = 0 THEN 'customer.nickname' END AS field, CASE WHEN raw_id % 17 = 0 THEN '"x"' END AS value FROM ord WHERE raw_id % 17 = 0""")
+def payload_unmapped(spark, d):
+    """Fields that the contract lacks, with their values."""
+    df = ingest.drift(ingest.parse(payloads(spark, d)))
+    return df.select("id", F.inline("unmapped_fields"))
+
 
+BREAKER_SQL = """, RECURSIVE c AS (SELECT event_type AS service, ts, value > 20 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, value > 20) AS n FROM events),
+  r AS (SELECT DISTINCT service, CAST(0 AS BIGINT) AS n, 0 AS bad, CAST(NULL AS TIMESTAMP) AS opened, '' AS state FROM c UNION ALL
+    SELECT service, n, CASE WHEN state = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN opened IS NOT NULL OR bad >= 2 THEN ts END, state
+    FROM (SELECT c.service, c.n, c.ts, c.ok, r.bad, r.opened, CASE WHEN r.opened IS NULL THEN 'closed' WHEN c.ts - r.opened < INTERVAL 30 MINUTE THEN 'open' ELSE 'half_open' END AS state FROM r JOIN c ON c.service = r.service AND c.n = r.n + 1))
+  SELECT service, state, count(*) AS calls FROM r WHERE n > 0 GROUP BY 1, 2"""
 
-@query("SELECT event_type AS service, count(*) AS calls FROM events GROUP BY 1")
+
+@query(BREAKER_SQL)
 def breaker_calls(spark, d):
+    """Calls by service and the breaker's answer, with a wait of half an hour."""
     calls = table(spark, d, "events").select(F.col("event_type").alias("service"), "ts", (F.col("value") > 20).alias("ok"))
-    return S.breaker_states(calls).groupBy("service").agg(F.count("state").alias("calls"))
+    return S.breaker_states(calls, seconds=1800.0, width=86_400.0).groupBy("service", "state").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("SELECT e.event_id AS id, e.event_type FROM events e WHERE e.event_type = 'error' OR e.event_id % 50 = 0")
+def replay_selected(spark, d):
+    """Records to process again, by status and by id."""
+    e = table(spark, d, "events")
+    status = e.select(F.col("event_id").alias("raw_id"), F.col("event_type").alias("status"))
+    return S.replay(e.select(F.col("event_id").alias("id"), "event_type"), status, e.where("event_id % 50 = 0").select(F.col("event_id").alias("id")), ["error"]).select("id", "event_type")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")

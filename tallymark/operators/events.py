@@ -25,25 +25,24 @@ def initial_events(ods: DataFrame) -> DataFrame:
 
 
 def latest_event(events: DataFrame, key: str = "raw_id", at: str = "event_at", tie: str = "id") -> DataFrame:
-    """The last event of each key by (at, tie). ``max_by`` keeps one row a key in the map-side buffer, so a key with a
-    long history costs no sort."""
-    rest = [c for c in events.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(at, tie)).alias("last")
-    return events.groupBy(key).agg(last).select(key, "last.*")
+    """The last event of each key by (at, tie). Spark keeps the first row of each key on the map side already (a window
+    group limit), so a key with a long history sends one row of each task."""
+    return keep_latest(events, key, F.desc(at), F.desc(tie))
 
 
 def with_effective_state(orders: DataFrame, events: DataFrame, key: str = "raw_id") -> DataFrame:
-    """orders with ``effective_quality_state`` and ``quality_state_at``; never a null state, never a lost order."""
-    last = latest_event(events, key).select(key, F.col("to_state").alias("_state"), F.col("event_at").alias("quality_state_at"))
+    """orders with ``effective_quality_state``, ``quality_state_at`` and ``event_state`` (what the last event says, null if
+    there is none); never a null effective state, never a lost order."""
+    last = latest_event(events, key).select(key, F.col("to_state").alias("event_state"), F.col("event_at").alias("quality_state_at"))
     df = orders.join(last, key, "left")
-    fine = F.coalesce(~F.col("has_clean_error") | (F.col("_state") == C.PROMOTED), F.lit(False))
+    fine = F.coalesce(~F.col("has_clean_error") | (F.col("event_state") == C.PROMOTED), F.lit(False))
     state = (
         F.when(F.coalesce(~F.col("has_clean_error"), F.lit(False)), C.CLEAN)
-        .when(F.col("_state") == C.PROMOTED, C.PROMOTED)
-        .when(F.col("_state") == C.REJECTED, C.REJECTED)
+        .when(F.col("event_state") == C.PROMOTED, C.PROMOTED)
+        .when(F.col("event_state") == C.REJECTED, C.REJECTED)
         .otherwise(C.QUARANTINED)
     )
-    return df.withColumn("is_effectively_clean", fine).withColumn("effective_quality_state", state).drop("_state")
+    return df.withColumn("is_effectively_clean", fine).withColumn("effective_quality_state", state)
 
 
 def clean_side(states: DataFrame) -> DataFrame:
@@ -63,21 +62,21 @@ def target_state(current: Column, original_codes: Column, passes: Column) -> Col
     return F.when(~current.eqNullSafe(F.lit(C.REJECTED)) & ~target.eqNullSafe(current), target)
 
 
-def candidates(clean: DataFrame, quarantine: DataFrame, limit: int | None = None) -> DataFrame:
-    """Dirty orders of either side that no human has rejected, by raw_id."""
-    both = clean.unionByName(quarantine, allowMissingColumns=True).where(F.col("has_clean_error") & (F.col("effective_quality_state") != C.REJECTED))
-    return both.orderBy("raw_id").limit(limit) if limit else both
+def candidates(states: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dirty orders of either side that no human has rejected; with a limit, the first by raw_id."""
+    dirty = states.where(F.col("has_clean_error") & (F.col("effective_quality_state") != C.REJECTED))
+    return dirty.orderBy("raw_id").limit(limit) if limit else dirty
 
 
-def plan_events(candidates: DataFrame, events: DataFrame, event_at: Column, new_codes: str = "new_codes", version: str = C.RULE_VERSION) -> DataFrame:
-    """Events of a re-evaluation: only changes, all at ``event_at``. ``new_codes`` holds what the rules find now. The
-    state comes from the event log itself, so a second run plans nothing."""
-    now = latest_event(events).select("raw_id", F.col("to_state").alias("from_state"))
-    df = candidates.join(now, "raw_id", "left")
+def plan_events(candidates: DataFrame, event_at: Column, new_codes: str = "new_codes", version: str = C.RULE_VERSION, reason: str | None = None) -> DataFrame:
+    """Events of a re-evaluation: only changes, all at ``event_at``. ``new_codes`` holds what the rules find now,
+    ``event_state`` what the event log said last; so a second run plans nothing."""
     passes = F.size(F.coalesce(F.col(new_codes), F.array().cast("array<string>"))) == 0
+    df = candidates.withColumn("from_state", F.col("event_state"))
     df = df.withColumn("to_state", target_state(F.col("from_state"), codes(F.col("clean_error_message")), passes)).where("to_state is not null")
     kind = F.when(F.col("to_state") == C.PROMOTED, "re_evaluation").otherwise("re_quarantination")
-    return df.select("raw_id", "order_id", kind.alias("event_type"), "from_state", "to_state", F.lit(version).alias("rule_version"), event_at.alias("event_at"), F.when(F.size(new_codes) > 0, F.col(new_codes)).alias("reason"))
+    why = F.when(F.size(new_codes) > 0, F.col(reason or new_codes))
+    return df.select("raw_id", "order_id", kind.alias("event_type"), "from_state", "to_state", F.lit(version).alias("rule_version"), event_at.alias("event_at"), why.alias("reason"))
 
 
 def plan_counts(candidates: DataFrame, planned: DataFrame) -> DataFrame:

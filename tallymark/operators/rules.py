@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark import contracts as C
 from tallymark.functions.text import non_finite, null_sentinels, outside, strip, strip_lower, too_long
-from tallymark.operators.ingest import at, kind, odd_number
+from tallymark.operators.ingest import at, kind_named, let, odd_number
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -30,10 +30,10 @@ def finding(code: str, field: str, value: Column, index: Column | None = None, o
     )
 
 
-def _number(item: Column, field: str) -> Column:
-    """A JSON number (or a repaired non-finite one) as double; a number written as text is not looked at."""
-    x = at(item, f"$.{field}")
-    return F.coalesce(odd_number(x), F.when(kind(x).isin("integer", "number"), F.try_variant_get(x, "$", "double")))
+def _number(item: Column, index: Column, field: str) -> Column:
+    """A JSON number (or a non-finite one, from ``odd``) as double; a number written as text is not looked at."""
+    plain = let(at(item, f"$.{field}"), lambda x: F.when(kind_named(F.schema_of_variant(x)).isin("integer", "number"), F.try_variant_get(x, "$", "double")))
+    return F.coalesce(odd_number(F.col("odd"), F.concat(F.lit("items["), index.cast("string"), F.lit(f"].{field}"))), plain)
 
 
 def item_findings(number, index: Column | None) -> Column:
@@ -64,14 +64,19 @@ def order_findings(reference: Column, age_high: int = C.AGE_RANGE[1], name_most:
 
 def evaluate(df: DataFrame, as_of: Column, **limits: int) -> DataFrame:
     """df with ``has_clean_error`` and ``clean_error_message`` (null if clean); non-finite numbers become null.
-    ``as_of`` is the record's own receipt time, so that a later run comes to the same verdict."""
-    each = F.flatten(F.transform("items", lambda x, i: item_findings(lambda f: _number(x, f), i)))
+    ``as_of`` is the record's own receipt time, so that a later run comes to the same verdict. Non-finite numbers of items
+    are null in ``items`` and found in ``odd``, which is dropped: what is stored holds none, and a later run, which cannot
+    find them again, must not overturn the verdict on them."""
+    if "odd" not in df.columns:
+        df = df.withColumn("odd", F.lit(None).cast("map<string,string>"))
+    numbers = lambda x, i: F.struct(*[_number(x, i, f).alias(f) for f in C.ITEM_FIELDS])  # noqa: E731  each read once
+    each = F.flatten(F.transform(F.transform("items", numbers), lambda n, i: item_findings(lambda f: n[f], i)))
     none = F.array().cast(f"array<{C.FINDING}>")
     all_of = F.concat(F.coalesce(each.cast(f"array<{C.FINDING}>"), none), F.array_compact(F.array(*order_findings(F.to_date(as_of), **limits))).cast(f"array<{C.FINDING}>"))
     df = df.withColumn("_found", all_of)
     keep = {c: F.when(~non_finite(F.col(c)), F.col(c)) for c in ("tax_pct", "customer_rating")}
     df = df.withColumns({"has_clean_error": F.size("_found") > 0, "clean_error_message": F.when(F.size("_found") > 0, F.col("_found")), **keep})
-    return df.withColumn("dq_rule_version", F.lit(C.RULE_VERSION)).drop("_found")
+    return df.withColumn("dq_rule_version", F.lit(C.RULE_VERSION)).drop("_found", "odd")
 
 
 def codes(message: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallymark import contracts as C
 
@@ -25,20 +25,29 @@ def lookback(at: Column, as_of: Column, days: int = C.LOOKBACK_DAYS) -> Column:
     return at >= F.date_sub(F.to_date(as_of), days).cast("timestamp_ntz")
 
 
-def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, day: str = "day") -> DataFrame:
-    """A staged table's days [start, end): the predicate is on the partition column, so other days are not listed."""
+def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, day: str = "day", schema: StructType | None = None) -> DataFrame:
+    """A staged table's days [start, end): the predicate is on the partition column, so no file of another day is read.
+    Where columns were added over time give the ``schema``; without it Spark takes that of one file, and opens no other."""
     if start is None:
         raise MissingDayPredicate(f"{path} is partitioned by {day}; say which days to read")
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     return df.where((F.col(day) >= F.lit(start)) & (F.col(day) < F.lit(end or start + dt.timedelta(days=1))))
 
 
+def days_of(spark: SparkSession, path: str, day: str = "day") -> list[dt.date]:
+    """The days of a staged table, in order, by the names of its partitions: no file is opened. None for no table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()]  # a name a day
+    values = [n.removeprefix(f"{day}=") for n in names if n.startswith(f"{day}=")]
+    return sorted(dt.date.fromisoformat(v) for v in values if not v.startswith("__"))
+
+
 def watermark(spark: SparkSession, path: str, day: str = "day") -> dt.date | None:
-    """The newest day of a staged table, from its partitions alone; null ones do not count; None if there is none."""
-    try:
-        return spark.read.parquet(path).where(F.col(day).isNotNull()).agg(F.max(day)).first()[0]
-    except AnalysisException:
-        return None
+    """The newest day of a staged table, from its partitions' names alone; null ones do not count; None if there is none."""
+    return max(days_of(spark, path, day), default=None)
 
 
 def since(df: DataFrame, at: str, mark: dt.date | None) -> DataFrame:
@@ -55,6 +64,10 @@ def overwrite_days(df: DataFrame, path: str, at: str, cluster: list[str], day: s
     _by_day(df, at, cluster, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def overwrite_all(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day") -> None:
+    _by_day(df, at, cluster, day).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(day).parquet(path)
+
+
 def _by_day(df: DataFrame, at: str, cluster: list[str], day: str) -> DataFrame:
     """Few files a day (a large day may have several: a hash of the first cluster key spreads it), each sorted by the
     cluster keys so that row groups can be skipped by their bounds."""
@@ -64,7 +77,7 @@ def _by_day(df: DataFrame, at: str, cluster: list[str], day: str) -> DataFrame:
 
 def expire_days(spark: SparkSession, path: str, before: dt.date, day: str = "day") -> list[dt.date]:
     """Deletes the partitions of days before the given one; returns these days. Null days stay."""
-    old = [r[0] for r in spark.read.parquet(path).where(F.col(day) < F.lit(before)).select(day).distinct().orderBy(day).collect()]  # a row a day
+    old = [d for d in days_of(spark, path, day) if d < before]
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     for d in old:

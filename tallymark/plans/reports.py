@@ -12,22 +12,20 @@ from tallymark.plans.gold import known
 
 def sales_daily_by_category(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     """By day, category and whether the order was returned (null: not known). Both joins keep all items; products is a
-    dimension and Spark broadcasts it only while its size allows."""
+    dimension and Spark broadcasts it only while its size allows. An order has one customer, as its items say."""
     df = items.join(products.select("product_id", "category"), "product_id", "left").join(orders.select("order_id", F.col("returned").alias("is_returned")), "order_id", "left")
     missing = lambda c: F.count_if(F.col(c).isNull())
-    return df.groupBy("order_date", known("category").alias("category"), "is_returned").agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
-        F.count(F.lit(1)).alias("items"),
-        F.sum("quantity").alias("total_quantity"),
-        F.sum("gross_amount").alias("gross_amount"),
-        F.sum("net_amount").alias("net_amount"),
-        F.sum("cost_amount").alias("cost_amount"),
-        F.sum("shipping_fee").alias("shipping_amount"),
-        missing("net_amount").alias("items_missing_amount"),
-        missing("cost_amount").alias("items_missing_cost"),
-        missing("shipping_fee").alias("items_missing_shipping"),
+    day = ["order_date", known("category").alias("category"), "is_returned"]
+    grain = ["order_date", "category", "is_returned"]
+    sums = ("quantity", "gross_amount", "net_amount", "cost_amount", "shipping_fee")
+    # one shuffle of the items; orders and customers are then counted by grouping, not by distinct sets
+    by_order = df.select(*day, "customer_id", "order_id", *sums).repartition(*grain, "customer_id").groupBy(*grain, "customer_id", "order_id").agg(
+        F.count(F.lit(1)).alias("items"), *[F.sum(c).alias(c) for c in sums], missing("net_amount").alias("no_net"), missing("cost_amount").alias("no_cost"), missing("shipping_fee").alias("no_fee")
     )
+    counted = ("items", *sums, "no_net", "no_cost", "no_fee")
+    by_customer = by_order.groupBy(*grain, "customer_id").agg(F.count("order_id").alias("orders"), *[F.sum(c).alias(c) for c in counted])
+    out = {"items": "items", "quantity": "total_quantity", "shipping_fee": "shipping_amount", "no_net": "items_missing_amount", "no_cost": "items_missing_cost", "no_fee": "items_missing_shipping"}
+    return by_customer.groupBy(*grain).agg(F.sum("orders").alias("orders"), F.count("customer_id").alias("customers"), *[F.sum(c).alias(out.get(c, c)) for c in counted])
 
 
 def quality_events_daily(events: DataFrame) -> DataFrame:
@@ -49,11 +47,12 @@ def quality_backlog(quarantine: DataFrame) -> DataFrame:
     is. An order without codes counts under the unknown code; an order with a code twice counts once."""
     df = quarantine.withColumn("_codes", F.array_distinct(codes(F.col("clean_error_message"))))
     df = df.withColumn("_first", F.array_min("_codes")).withColumn("_code", F.explode_outer("_codes"))
-    code = known("_code")
-    primary = F.when(F.col("_code").eqNullSafe(F.col("_first")), F.col("raw_id"))
-    return df.groupBy(F.to_date("quarantined_at").alias("quarantined_date"), F.col("dq_rule_version").alias("rule_version"), F.col("effective_quality_state").alias("state"), code.alias("code")).agg(
-        F.countDistinct("raw_id").alias("orders_with_code"), F.countDistinct(primary).alias("orders_primary_code")
-    )
+    df = df.select(F.to_date("quarantined_at").alias("quarantined_date"), F.col("dq_rule_version").alias("rule_version"), F.col("effective_quality_state").alias("state"), known("_code").alias("code"), "raw_id", F.col("_code").eqNullSafe(F.col("_first")).alias("_primary"))
+    grain = ["quarantined_date", "rule_version", "state", "code"]
+    # an order once for each code, then a count: no distinct sets, and the groups of a frequent code are spread
+    once = df.groupBy(*grain, "raw_id").agg(F.max("_primary").alias("_primary"))
+    has_id = F.col("raw_id").isNotNull()
+    return once.groupBy(*grain).agg(F.count_if(has_id).alias("orders_with_code"), F.count_if(F.col("_primary") & has_id).alias("orders_primary_code"))
 
 
 def error_rate(df: DataFrame, flag: str, latest_by: str | None = None) -> DataFrame:

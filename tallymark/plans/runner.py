@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import contracts as C
 from tallymark.operators import events as E
+from tallymark.operators import staging as staging_days
 from tallymark.plans import checks as K
 from tallymark.plans import gold as G
 from tallymark.plans import reports as R
@@ -65,13 +67,16 @@ def _rule(table: str, rule: str) -> Check:
     return Check(f"{table}: {rule}", lambda t: K.holds(t[table], rule))
 
 
+#: Days that landed and staged rows are held against each other: more than the look-back, so that it cannot hide a loss.
+RECON_DAYS = 7
 SUMS = ("total_quantity", "gross_amount", "net_amount", "cost_amount", "shipping_amount")
 
 
 def layers(as_of=None) -> list[Layer]:
     """The models and their tests. The tables ``orders`` and ``quality_events`` are given (landed, not yet deduplicated)."""
     now = F.current_timestamp() if as_of is None else as_of
-    states = lambda t: E.with_effective_state(t["stg_orders"], t["stg_quality_events"])
+    recent = lambda df, at: df.where(staging_days.lookback(F.col(at), now, RECON_DAYS))
+    recon = lambda t, raw, staged, at, key: staging_days.reconcile(recent(t[raw], at), recent(t[staged], at), at, key)
     staging = Layer(
         "staging",
         {"stg_orders": lambda t: G.dedup_orders(t["orders"]), "stg_quality_events": lambda t: G.dedup_events(t["quality_events"])},
@@ -84,11 +89,13 @@ def layers(as_of=None) -> list[Layer]:
             *_filled("stg_quality_events", "raw_id", "order_id", "event_type", "to_state", "event_at"),
             _one_of("stg_quality_events", "event_type", *C.EVENT_TYPES, severity="warn"),
             _one_of("stg_quality_events", "to_state", C.CLEAN, C.QUARANTINED, C.PROMOTED, C.RE_QUARANTINED, C.REJECTED, severity="warn"),
+            Check("stg_orders matches what landed", lambda t: recon(t, "orders", "stg_orders", "received_at", "raw_id")),
+            Check("stg_quality_events matches what landed", lambda t: recon(t, "quality_events", "stg_quality_events", "event_at", "id")),
         ],
     )
     intermediate = Layer(
         "intermediate",
-        {"int_orders": lambda t: E.clean_side(states(t)), "int_orders_quarantine": lambda t: E.quarantine_side(states(t)), "int_order_items": lambda t: G.order_items(t["int_orders"])},
+        {"int_order_states": lambda t: E.with_effective_state(t["stg_orders"], t["stg_quality_events"]), "int_orders": lambda t: E.clean_side(t["int_order_states"]), "int_orders_quarantine": lambda t: E.quarantine_side(t["int_order_states"]), "int_order_items": lambda t: G.order_items(t["int_orders"])},
         [
             *_keys("int_orders", "raw_id", "order_id"),
             *_filled("int_orders", "received_at", "has_clean_error", "effective_quality_state"),
@@ -160,6 +167,27 @@ def layers(as_of=None) -> list[Layer]:
 
 #: Tables stored by day of the order; large days are split over tasks, small ones share them.
 BY_DAY = {"fct_orders": "order_date", "fct_order_items": "order_date", "rpt_sales_daily_by_category": "order_date"}
+#: Tables whose days are replaced one by one: (the table read, its instant; own instant, partition, cluster keys).
+INCREMENTAL = {
+    "stg_orders": ("orders", "received_at", "received_at", "day", ["raw_id"]),
+    "stg_quality_events": ("quality_events", "event_at", "event_at", "day", ["raw_id"]),
+    "rpt_quality_events_daily": ("stg_quality_events", "event_at", "event_date", "event_date", ["rule_version"]),
+}
+
+
+@dataclass(frozen=True)
+class Days:
+    """The days that an incremental run replaces: those since ``lookback`` days before ``as_of``, or [start, end)."""
+
+    as_of: Column = field(default_factory=F.current_timestamp)
+    lookback: int = C.LOOKBACK_DAYS
+    start: dt.date | None = None
+    end: dt.date | None = None
+
+    def hold(self, at: str) -> Column:
+        if self.start is not None:
+            return staging_days.day_range(F.col(at), self.start, self.end)
+        return staging_days.lookback(F.col(at), self.as_of, self.lookback)
 
 
 def store(df: DataFrame, path: str, day: str | None = None) -> None:
@@ -169,15 +197,29 @@ def store(df: DataFrame, path: str, day: str | None = None) -> None:
         df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
 
 
-def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None) -> tuple[Tables, dict[str, str]]:
+def build(spark: SparkSession, name: str, model: Callable[[Tables], DataFrame], tables: Tables, path: str, days: Days | None) -> DataFrame:
+    """The stored model. An incremental one is built from the days wanted and replaces these; all, where there is no
+    table yet or no days are given."""
+    if name not in INCREMENTAL:
+        store(model(tables), path, BY_DAY.get(name))
+        return spark.read.parquet(path)
+    source, read_at, at, day, cluster = INCREMENTAL[name]
+    if days is None or not staging_days.days_of(spark, path, day):
+        staging_days.overwrite_all(model(tables), path, at, cluster, day)
+    else:
+        staging_days.overwrite_days(model(tables | {source: tables[source].where(days.hold(read_at))}), path, at, cluster, day)
+    out = spark.read.parquet(path)
+    return out.drop(day) if day != at else out
+
+
+def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None, days: Days | None = None) -> tuple[Tables, dict[str, str]]:
     """Builds every layer under ``root`` and tests it before the next. Returns the tables and each test's outcome;
-    raises CheckFailed after all of a layer's tests ran, if one of severity error found rows."""
+    raises CheckFailed after all of a layer's tests ran, if one of severity error found rows. With ``days`` the
+    incremental tables replace these days only; a run over late rows then equals a full one."""
     tables, outcome = dict(tables), {}
     for layer in plan or layers():
         for name, model in layer.models.items():
-            path = f"{root}/{name}"
-            store(model(tables), path, BY_DAY.get(name))
-            tables[name] = spark.read.parquet(path)
+            tables[name] = build(spark, name, model, tables, f"{root}/{name}", days)
         failed = []
         for check in layer.checks:
             broken = not check.rows(tables).isEmpty()

@@ -2,47 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymark.operators import events, ingest, rules
+from tallymark.operators.staging import recoverable
 from tallymark.sources.store import stored
 
 
-def documents_in(spark: SparkSession, folder: str) -> DataFrame:
+def documents_in(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     """A stream of JSON files, one order a line, with the instant and the id of arrival derived from the file."""
-    lines = spark.readStream.text(folder)
+    lines = spark.readStream.options(**options).text(folder)
     at = F.col("_metadata.file_modification_time")
     return lines.select(F.xxhash64("_metadata.file_path", "value").alias("id"), at.alias("received_at"), F.col("value").alias("raw_payload"))
 
 
-def land_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+_JUDGED = "id bigint, received_at timestamp, raw_payload string, order_id string, status string, error_message string"
+
+
+def first_writes(source: DataFrame) -> DataFrame:
+    """The stream's records with their status: the first of each order is processed, later ones, of this batch or of a
+    later one, are duplicates, what cannot be read is an error. The state keeps one number for each order that was
+    processed; a batch looks up its own orders alone, however long the stream has run."""
+    flat = ingest.flatten(ingest.parse(source)).select("id", "received_at", "raw_payload", "order_id", "status", "error_message")
+    key = F.when(F.col("status") == "processed", F.concat(F.lit("o"), F.col("order_id"))).otherwise(F.concat(F.lit("e"), F.col("id").cast("string")))
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).drop_duplicates("id").sort_values(["received_at", "id"])
+        if key[0].startswith("o"):
+            known = state.exists
+            rows["status"] = ["duplicate" if known or i else "processed" for i in range(len(rows))]
+            if not known:
+                state.update((int(rows["id"].iloc[0]),))
+        yield rows.drop(columns="_key")
+
+    return flat.withColumn("_key", key).groupBy("_key").applyInPandasWithState(judge, _JUDGED, "first bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def land_batch(judged: DataFrame, batch_id: int, root: str) -> None:
     """One micro-batch to ``root``: orders, events and status of every record, each under a folder named for the batch
-    and overwritten if the batch runs again; readers see a batch by its status folder, which is written last."""
-    spark = batch.sparkSession
-    flat = stored(ingest.flatten(ingest.parse(batch.dropDuplicates(["id"]))), "flat-batch").withColumnRenamed("id", "raw_id")
-    good = flat.where("status = 'processed'")
-    try:
-        before = spark.read.parquet(f"{root}/orders").where(F.col("batch") < batch_id)
-        good = events.first_write(good, "order_id", ["received_at", "raw_id"], before)
-    except Exception as e:  # noqa: BLE001 - the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        good = events.first_write(good, "order_id", ["received_at", "raw_id"])
-    good = stored(good, "judged-batch")
-    ods = rules.evaluate(rules.normalise(ingest.drift(good.where("status = 'processed'"))), F.col("received_at")).withColumn("id", F.col("raw_id"))
-    ods = ods.drop("raw_payload", "v", "status", "error_message")
-    status = good.select("raw_id", "order_id", "status", "error_message").unionByName(flat.where("status = 'error'").select("raw_id", "order_id", "status", "error_message"))
+    and overwritten if the batch runs again. The status comes last; ``landed`` shows only batches that have one."""
+    spark = judged.sparkSession
+    judged = stored(judged, "judged-batch")
+    good = ingest.flatten(ingest.parse(judged.where("status = 'processed'").select("id", "received_at", "raw_payload"))).withColumnRenamed("id", "raw_id")
+    good = stored(good, "flat-batch")
+    ods = rules.evaluate(rules.normalise(ingest.drift(good)), F.col("received_at")).withColumn("id", F.col("raw_id"))
     written = f"{root}/orders/batch={batch_id}"
-    ods.write.mode("overwrite").parquet(written)
+    ods.drop("raw_payload", "v", "status", "error_message").write.mode("overwrite").parquet(written)
     events.initial_events(spark.read.parquet(written)).write.mode("overwrite").parquet(f"{root}/quality_events/batch={batch_id}")
-    status.write.mode("overwrite").parquet(f"{root}/status/batch={batch_id}")
+    judged.select(F.col("id").alias("raw_id"), "order_id", "status", "error_message").write.mode("overwrite").parquet(f"{root}/status/batch={batch_id}")
 
 
 def land_stream(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """All documents there are, then stop; offsets in ``checkpoint`` stand in for claims on single records."""
-    return source.writeStream.foreachBatch(lambda df, n: land_batch(df, n, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    judged = first_writes(source).observe("landing", F.count(F.lit(1)).alias("records"), *[F.count_if(F.col("status") == s).alias(s) for s in ("processed", "duplicate", "error")])
+    return judged.writeStream.foreachBatch(lambda df, n: land_batch(df, n, root)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def landed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A landed table (orders, quality_events or status), without batches that were not finished."""
+    done = spark.read.parquet(f"{root}/status").select("batch").distinct()
+    return spark.read.parquet(f"{root}/{table}").join(done, "batch", "left_semi")
+
+
+class LandingMetrics(StreamingQueryListener):
+    """Records and statuses of each batch, as the stream reports them."""
+
+    def __init__(self) -> None:
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if (row := p.observedMetrics.get("landing")) is not None:
+            self.batches.append({"batch": p.batchId, "seconds": p.batchDuration / 1000, **row.asDict()})
+
+
+def replay(raw: DataFrame, status: DataFrame, ids: DataFrame | None = None, statuses: Iterable[str] = ()) -> DataFrame:
+    """The raw records to process again: those with the ids (``id``), and those whose status is one of ``statuses``."""
+    wanted = status.where(F.col("status").isin(*statuses)).select(F.col("raw_id").alias("id"))
+    if ids is not None:
+        wanted = wanted.unionByName(ids.select("id"))
+    return raw.join(wanted.distinct(), "id", "left_semi")
+
+
+def recovery_pages(raw: DataFrame, as_of, page: int = 5000, **limits: int) -> Iterator[DataFrame]:
+    """Pages of records to work on again, by id, until none is left: each is a bounded piece of work."""
+    after = None
+    while True:
+        some = recoverable(raw, as_of, *([] if after is None else [after]), page=page, **limits)
+        last = some.agg(F.max("id")).first()[0]
+        if last is None:
+            return
+        yield some
+        after = last
 
 
 def over_limit(requests: DataFrame, client: str, at: str, limit: int, window: str = "1 minute") -> DataFrame:
@@ -54,26 +118,86 @@ def over_limit(requests: DataFrame, client: str, at: str, limit: int, window: st
     return counts.where(F.col("requests") > limit).select(client, F.col("w.start").alias("window_start"), "requests", (F.col("requests") - limit).alias("refused"))
 
 
-def breaker_states(calls: DataFrame, key: str = "service", at: str = "ts", ok: str = "ok", failures: int = 3, seconds: float = 30.0) -> DataFrame:
-    """The circuit breaker's answer to each call, by a fold over a key's calls in order: closed, open (refused) or
-    half_open (one trial). Keys are independent, so each is one group; a stream keeps the same three numbers as state."""
-    import pandas as pd
+class Breaker:
+    """The circuit breaker as a fold over calls in order. State: (failures so far, None) while closed, (-1, when) while
+    open; times are microseconds."""
+
+    def __init__(self, failures: int, wait: int) -> None:
+        self.failures, self.wait = failures, wait
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, ok], kind="stable")
-        bad, opened, out = 0, None, []
-        for t, good in zip(pdf[at], pdf[ok], strict=True):
-            if opened is not None and (t - opened).total_seconds() < seconds:
+    def fold(self, t: list[int], ok: list[bool], bad: int, opened: int | None) -> list[str]:
+        """The answer to each call, from a state on."""
+        out = []
+        for at, good in zip(t, ok, strict=True):
+            if opened is not None and at - opened < self.wait:
                 out.append("open")
                 continue
             out.append("closed" if opened is None else "half_open")
             if good:
                 bad, opened = 0, None
+            elif opened is not None or bad + 1 >= self.failures:
+                bad, opened = -1, at
             else:
                 bad += 1
-                if opened is not None or bad >= failures:
-                    opened = t
-        return pdf[[key, at, ok]].assign(state=out)
+        return out
+
+    def summary(self, t: np.ndarray, ok: list[bool]) -> tuple[list[tuple], list[int], list[tuple]]:
+        """What some calls make of any state before them, without knowing it: the state after them for each number of
+        failures while closed; and, if the first call let through is number j, for each j (calls whose answer is the same
+        as the next's are left out): times and states. From the last call back, each state once."""
+        later = np.searchsorted(t, t + self.wait, side="left").tolist()
+        closed = [(b, None) for b in range(self.failures)]
+        trial: list[tuple] = [()] * len(t)
+        for j in range(len(t) - 1, -1, -1):
+            opens = trial[later[j]] if later[j] < len(t) else (-1, int(t[j]))
+            after = closed
+            trial[j] = after[0] if ok[j] else opens
+            closed = [after[0]] * self.failures if ok[j] else [*after[1:], opens]
+        last = [j for j in range(len(t)) if j + 1 == len(t) or trial[j + 1] != trial[j]]
+        return closed, [int(t[j]) for j in last], [trial[j] for j in last]
+
+    def after(self, state: tuple, closed: list[tuple], times: list[int], trial: list[tuple]) -> tuple:
+        """The state after some calls, by their summary."""
+        bad, opened = state
+        if opened is None:
+            return closed[bad]
+        j = int(np.searchsorted(times, opened + self.wait, side="left"))
+        return trial[j] if j < len(times) else state
+
+
+def breaker_states(calls: DataFrame, key: str = "service", at: str = "ts", ok: str = "ok", failures: int = 3, seconds: float = 30.0, width: float = 3600.0) -> DataFrame:
+    """The circuit breaker's answer to each call: closed, open (refused) or half_open (one trial).
+
+    A key's calls are one sequence, but no task folds all of it: the calls of each span of ``width`` seconds are
+    summarised for any state before them, the summaries (a row a key and span) are chained, and each span is folded from
+    the state that the chain gives it. A null in ``ok`` is a failure."""
+    breaker, kinds = Breaker(failures, round(seconds * 1e6)), dict(calls.dtypes)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kinds[at]), F.col(at))
+    rows = calls.select(key, at, ok, micros.alias("_t")).withColumn("_span", F.floor(F.col("_t") / round(width * 1e6)))
+    ordered = lambda pdf: pdf.assign(_ok=pdf[ok].fillna(False).astype(bool)).sort_values(["_t", "_ok"], kind="stable")
+
+    def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = ordered(pdf)
+        closed, times, trial = breaker.summary(pdf["_t"].to_numpy(), pdf["_ok"].tolist())
+        pair = lambda states: ([[b for b, _ in states]], [[o for _, o in states]])
+        (cb, co), (tb, to) = pair(closed), pair(trial)
+        return pd.DataFrame({key: [group[0]], "_span": [group[1]], "closed_bad": cb, "closed_at": co, "times": [times], "trial_bad": tb, "trial_at": to})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = (0, None), []
+        pdf = pdf.sort_values("_span")
+        none = lambda xs: [None if pd.isna(x) else int(x) for x in xs]
+        for r in pdf.itertuples(index=False):
+            out.append(state)
+            state = breaker.after(state, list(zip(r.closed_bad, none(r.closed_at), strict=True)), list(r.times), list(zip(r.trial_bad, none(r.trial_at), strict=True)))
+        return pd.DataFrame({key: pdf[key], "_span": pdf["_span"], "bad": [int(b) for b, _ in out], "opened": pd.array([o for _, o in out], dtype="Int64")})
+
+    def refold(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        pdf = ordered(pdf)
+        opened = entry["opened"].iloc[0]
+        return pdf[[key, at, ok]].assign(state=breaker.fold(pdf["_t"].tolist(), pdf["_ok"].tolist(), int(entry["bad"].iloc[0]), None if pd.isna(opened) else int(opened)))
 
-    kinds = dict(calls.dtypes)
-    return calls.select(key, at, ok).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {at} {kinds[at]}, {ok} {kinds[ok]}, state string")
+    lists = "closed_bad array<bigint>, closed_at array<bigint>, times array<bigint>, trial_bad array<bigint>, trial_at array<bigint>"
+    summaries = rows.groupBy(key, "_span").applyInPandas(summarise, f"{key} {kinds[key]}, _span bigint, {lists}")
+    entries = summaries.groupBy(key).applyInPandas(chain, f"{key} {kinds[key]}, _span bigint, bad bigint, opened bigint")
+    return rows.groupBy(key, "_span").cogroup(entries.groupBy(key, "_span")).applyInPandas(refold, f"{key} {kinds[key]}, {at} {kinds[at]}, {ok} {kinds[ok]}, state string")

@@ -10,6 +10,7 @@ from tallymark.operators import events as E
 from tallymark.operators import staging
 from tallymark.plans import checks as K
 from tallymark.plans import gold as G
+from tallymark.plans import reevaluation as V
 from tallymark.plans import reports as R
 from tallymark.plans import runner
 from tallymark.sources import generator
@@ -55,14 +56,56 @@ def test_gate_on_edges(spark):
 def test_re_evaluation_is_idempotent(spark, landed):
     ods, log = landed
     states = E.with_effective_state(ods, log)
-    found = E.candidates(E.clean_side(states), E.quarantine_side(states)).withColumn("new_codes", F.when(F.col("raw_id") % 2 == 0, F.array(F.lit("x"))))
-    plan = E.plan_events(found, log, F.lit(dt.datetime(2025, 1, 1)))
+    again = lambda s: E.candidates(s).withColumn("new_codes", F.when(F.col("raw_id") % 2 == 0, F.array(F.lit("x"))))
+    found = again(states)
+    plan = E.plan_events(found, F.lit(dt.datetime(2025, 1, 1)))
     moved = plan.count()
     assert 0 < moved < found.count() and plan.where(F.col("to_state") != C.PROMOTED).count() == 0
     counts = E.plan_counts(found, plan).first()
     assert counts["promoted"] == moved and counts["unchanged"] == found.count() - moved
     after = log.select("id", "raw_id", "to_state", "event_at").unionByName(plan.select((F.col("raw_id") + 10**6).alias("id"), "raw_id", "to_state", "event_at"))
-    assert E.plan_events(found, after, F.lit(dt.datetime(2025, 1, 2))).count() == 0
+    assert E.plan_events(again(E.with_effective_state(ods, after)), F.lit(dt.datetime(2025, 1, 2))).count() == 0
+
+
+def test_re_evaluation_end_to_end(spark, landed, tmp_path):
+    ods, log = landed
+    path = f"{tmp_path}/log"
+    log.write.parquet(path)
+    read, at = lambda: spark.read.parquet(path), F.lit(dt.datetime(2025, 1, 1))
+    with pytest.raises(V.WrongVersion):
+        V.reevaluate(ods, read(), path, at, expect_version="v0")
+    dry = V.reevaluate(ods, read(), path, at, age_high=250)
+    assert dry.events.count() > 0 and read().count() == log.count()
+    only_age = ods.where("has_clean_error and size(clean_error_message) = 1 and clean_error_message[0].code = 'age_out_of_range'").count()
+    done = V.reevaluate(ods, read(), path, at, dry_run=False, age_high=250, expect_version=C.RULE_VERSION)
+    assert done.counts.first()["promoted"] == only_age == read().where("event_type = 're_evaluation'").count() > 0
+    # a verdict that rests on a cleared value stands, and a second run adds nothing
+    blocked = ods.where("exists(clean_error_message, e -> e.code = 'non_finite_number')").count()
+    assert done.counts.first()["blocked_non_reproducible"] == blocked > 0
+    assert V.reevaluate(ods, read(), path, at, dry_run=False, age_high=250).events.count() == 0
+    assert V.plan(ods, read(), at, limit=3).counts.first()["candidates"] == 3
+
+
+def test_incremental_run_equals_a_full_one(spark, landed, tmp_path):
+    ods, log = landed
+    as_of = F.lit(dt.datetime(2024, 1, 30, 12))
+    days = runner.Days(as_of, lookback=3)
+    early = lambda df, at: df.where(F.col(at) < dt.datetime(2024, 1, 28, 9))
+    plan = [runner.Layer(x.name, x.models, [c for c in x.checks if "error rate" not in c.name]) for x in runner.layers(as_of)]
+    go = lambda o, e, root, days: runner.run(spark, {"orders": o, "quality_events": e}, f"{tmp_path}/{root}", plan, days)[0]
+    go(early(ods, "received_at"), early(log, "event_at"), "steps", days)
+    steps, whole = go(ods, log, "steps", days), go(ods, log, "whole", None)
+    for name in ("stg_orders", "stg_quality_events", "rpt_quality_events_daily", "fct_orders"):
+        drop = [c for c, t in whole[name].dtypes if "variant" in t]
+        a, b = steps[name].drop(*drop), whole[name].drop(*drop)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    # a day that was lost is seen and can be filled in again
+    short = staging.days_of(spark, f"{tmp_path}/steps/stg_orders")[-2]
+    staging.overwrite_days(ods.where(F.to_date("received_at") == short).limit(1), f"{tmp_path}/steps/stg_orders", "received_at", ["raw_id"])
+    with pytest.raises(runner.CheckFailed, match="stg_orders matches"):
+        runner.run(spark, {"orders": ods, "quality_events": log}, f"{tmp_path}/steps", plan, runner.Days(as_of, start=dt.date(2024, 1, 2)))
+    healed = go(ods, log, "steps", runner.Days(as_of, start=short))
+    assert healed["stg_orders"].count() == ods.count()
 
 
 def test_states_of_odd_orders(spark):
@@ -114,6 +157,7 @@ def test_recovery_page_and_thresholds(spark):
     assert [r["id"] for r in staging.recoverable(raw, F.lit(now)).collect()] == [2, 3]
     assert [r["id"] for r in staging.recoverable(raw, F.lit(now), after_id=2).collect()] == [3]
     assert staging.stuck_after() == 900
+    assert [[r["id"] for r in page.collect()] for page in S.recovery_pages(raw, F.lit(now), page=1)] == [[2], [3]]
 
 
 def test_try_all_reports_every_failure():
@@ -132,9 +176,31 @@ def test_stream_lands_once(spark, tmp_path):
     (folder / "2.json").write_text('{"order_id": "A"}\n{"order_id": "B"}\n')
     go()
     go()
-    read = lambda n: spark.read.parquet(f"{tmp_path}/out/{n}")
+    read = lambda n: S.landed(spark, f"{tmp_path}/out", n)
     assert {r["status"]: r["count"] for r in read("status").groupBy("status").count().collect()} == {"processed": 2, "duplicate": 2, "error": 1}
     assert sorted(r["order_id"] for r in read("orders").collect()) == ["A", "B"] and read("quality_events").count() == 2
+    # a batch without its status is not shown
+    spark.read.parquet(f"{tmp_path}/out/orders/batch=0").write.parquet(f"{tmp_path}/out/orders/batch=77")
+    assert read("orders").count() == 2
+    raw = spark.read.text(str(folder)).select(F.xxhash64("_metadata.file_path", "value").alias("id"), F.col("value").alias("raw_payload"))
+    assert [r["raw_payload"] for r in S.replay(raw, read("status"), statuses=["error"]).collect()] == ["{bad"]
+    assert S.replay(raw, read("status"), read("status").where("order_id = 'B'").select(F.col("raw_id").alias("id"))).count() == 1
+
+
+def test_landing_metrics(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text('{"order_id": "A"}\n{"order_id": "A", "ship_mode": "x"}\n{bad\n')
+    seen = S.LandingMetrics()
+    spark.streams.addListener(seen)
+    S.land_stream(S.documents_in(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    until = time.time() + 20
+    while not seen.batches and time.time() < until:
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert [(b["batch"], b["records"], b["processed"], b["duplicate"], b["error"]) for b in seen.batches] == [(0, 3, 1, 1, 1)]
 
 
 def test_circuit_breaker(spark):
@@ -145,6 +211,21 @@ def test_circuit_breaker(spark):
     assert out == ["closed", "closed", "closed", "open", "open", "half_open", "open", "half_open", "closed"]
 
 
+@pytest.mark.parametrize("width", [7.0, 40.0, 1000.0])
+def test_circuit_breaker_by_spans(spark, width):
+    """Spans are folded apart and come to the same as one fold over all."""
+    import random
+
+    r, rows, want = random.Random(5), [], []
+    for k in range(4):
+        t = sorted(r.uniform(0, 600) for _ in range(150))
+        calls = [(round(x * 1e6), r.random() < (0.2, 0.5, 0.8, 0.0)[k]) for x in t]
+        want += [(f"s{k}", x, s) for (x, _), s in zip(calls, S.Breaker(3, 30_000_000).fold([x for x, _ in calls], [ok for _, ok in calls], 0, None), strict=True)]
+        rows += [(f"s{k}", dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=x), ok) for x, ok in calls]
+    out = S.breaker_states(spark.createDataFrame(rows, "service string, ts timestamp, ok boolean").repartition(3), width=width).collect()
+    assert sorted((x["service"], round((x["ts"] - dt.datetime(2024, 1, 1)).total_seconds() * 1e6), x["state"]) for x in out) == want
+
+
 def test_dim_product_order_is_total(spark):
     items = spark.createDataFrame([(1, 0, "P", "red"), (2, 0, "P", "blue")], "raw_id long, item_index int, product_id string, brand string").withColumns({"order_date": F.lit(dt.date(2024, 1, 1)), **{c: F.lit("x") for c in ("product_name", "category", "sub_category", "condition")}})
     orders = spark.createDataFrame([(1,), (2,)], "raw_id long").withColumn("received_at", F.lit(dt.datetime(2024, 1, 1)))

@@ -90,7 +90,24 @@ def test_drift(spark):
     ]
     out = ingest.drift(flat(spark, [p for p, _ in cases])).orderBy("id").collect()
     assert [[(e["code"], e["field"]) for e in r["schema_drift_message"]] if r["schema_drift_message"] else None for r in out] == [w for _, w in cases]
-    assert out[1]["unmapped_fields"] == ["loyalty"] and not out[0]["has_schema_drift"]
+    assert [tuple(x) for x in out[1]["unmapped_fields"]] == [("loyalty", "3")] and not out[0]["has_schema_drift"]
+    assert [tuple(x) for x in out[12]["unmapped_fields"]] == [("items[0].product.colour", '"red"')] and out[4]["unmapped_fields"] is None
+    assert out[4]["schema_drift_message"][0]["expected"] == "integer" and out[4]["schema_drift_message"][0]["actual"] == "string"
+
+
+def test_non_finite_numbers(spark):
+    """They are judged, cleared and never mistaken for what a payload holds."""
+    marked = having(items=[{"quantity": 1, "unit_price": {"__not_finite__": "NaN"}}], payment__tax_pct={"__not_finite__": "NaN"})
+    odd = having(items=[{"quantity": 1, "unit_price": float("inf")}, {"quantity": float("nan"), "cost_price": 2}], behavior__customer_rating=float("-inf"))
+    out = flat(spark, [json.dumps(marked), json.dumps(odd), json.dumps(having(ship_mode=float("nan")))]).orderBy("id").collect()
+    assert [(r["status"], r["error_message"]) for r in out] == [("error", "cannot read tax_pct"), ("processed", None), ("error", "cannot read ship_mode")]
+    assert out[1]["odd"] == {"items[0].unit_price": "Infinity", "items[1].quantity": "NaN", "behavior.customer_rating": "-Infinity"}
+    df = rules.evaluate(rules.normalise(flat(spark, [json.dumps(odd)])), F.col("received_at"))
+    r = df.select("*", F.to_json(F.transform("items", lambda x: F.to_json(x))).alias("text")).first()
+    assert [(e["code"], e["field"], e["index"]) for e in r["clean_error_message"]] == [(C.NON_FINITE_NUMBER, "unit_price", 0), (C.NON_FINITE_NUMBER, "quantity", 1), (C.NON_FINITE_NUMBER, "customer_rating", None)]
+    assert r["customer_rating"] is None and "odd" not in df.columns and json.loads(json.loads(r["text"])[0])["unit_price"] is None
+    drifted = ingest.drift(flat(spark, [json.dumps(having(ship_mode=float("nan")))])).first()["schema_drift_message"]
+    assert [(e["code"], e["field"], e["actual"]) for e in drifted] == [("type_drift", "ship_mode", "number")]
 
 
 def test_normalise(spark):
