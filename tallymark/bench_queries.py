@@ -34,8 +34,8 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             views, recursive = VIEWS.strip(), sql.startswith(", RECURSIVE")
-            sql = sql.replace(", RECURSIVE", ",", 1)
-            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{views}{sql}" if sql.startswith(",") else f"WITH {views} {sql}"
+            rest = sql.replace(", RECURSIVE", ",", 1)
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{views}{rest}" if rest.startswith(",") else f"WITH {views} {rest}"
         return f
 
     return add
