@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.sources.store import stage_root, stored
 
-__all__ = ["WORD_SQL", "crc_mod", "documents", "lower_ascii", "only", "stage_root", "staged", "words"]
+__all__ = ["WORD_SQL", "crc_mod", "documents", "lower_ascii", "maybe_in", "only", "sliced", "stage_root", "staged", "words"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -28,6 +31,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the column written as text, modulo m (null stays null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
@@ -42,3 +52,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns, whatever else the table holds."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Words of a bitmap of keys: its size, whatever the number of keys.
+FILTER = 1 << 18
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """df with ``maybe``: false where ``keys`` surely lacks the row's key. FILTER words of 64 bits at most are broadcast,
+    so rows that a join does not concern need not be shuffled for it; with very many keys more of them say maybe."""
+    word, bit = F.pmod(F.xxhash64(*key), F.lit(FILTER)).cast("int"), F.pmod(F.xxhash64(*key[::-1], F.lit(1)), F.lit(64)).cast("int")
+    mark = F.expr("shiftleft(1L, _bit)")
+    marks = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(mark).alias("_marks"))
+    marked = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(marks), "_word", "left")
+    return marked.withColumn("maybe", F.coalesce(F.col("_marks").bitwiseAND(mark) != 0, F.lit(False))).drop("_word", "_bit", "_marks")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import staged
+from tallymark.llm.common import sliced, staged
 from tallymark.llm.tokens import batches_of, encoder
 
 ITEMS = 60_000
@@ -39,7 +39,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_column: s
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             docs, rows = iter(batch.column(0).to_pylist()), []
             for some in batches_of(batch.column(1).to_pylist()):
                 for ids in encoder(tokenizer).encode(some):

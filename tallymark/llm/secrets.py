@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import sliced
+
 
 class Rule(NamedTuple):
     """``least``: a match counts if this group (0: all of it) has so many characters."""
@@ -275,13 +277,14 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     """df with every secret of the text replaced by ``[kind]``; overlapping spans go as one, under the first's kind.
     Texts without a secret, null included, stay as they are."""
 
-    @F.pandas_udf("string")
-    def redacted(texts):
-        import pandas as pd
-
-        return pd.Series([_redact(t, scanner(rules).spans(t)) if t else t for t in texts], dtype=object)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = scanner(rules).spans
+        for batch in sliced(batches):
+            at = batch.schema.get_field_index(text)
+            clear = pa.array([_redact(t, find(t)) if t else t for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([clear if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return df.withColumn(text, redacted(F.col(f"`{text}`")))
+    return df.mapInArrow(rows, df.schema)
 
 
 def _redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -300,7 +303,7 @@ def digest(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(rules).spans
-        for batch in batches:
+        for batch in sliced(batches):
             found = [find(t) if t else [] for t in batch.column("text").to_pylist()]
             own = [[x for x in s if x[0] in base] for s in found]
             joined = [",".join(f"{k}:{b}:{e}" for k, b, e in s) for s in own]

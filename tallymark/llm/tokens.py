@@ -36,7 +36,7 @@ class Encoder:
     """``keep``: pieces remembered by one worker; beyond that it starts anew. ``special``: the file's added tokens, where
     a text names them, are their ids, as by the library's default; else their names are ordinary text."""
 
-    def __init__(self, path: str, keep: int = 800_000, longest: int = 64, special: bool = False) -> None:
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 64, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
