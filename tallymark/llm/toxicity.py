@@ -8,12 +8,15 @@ Features: the presence of words and word beginnings, hashed, of which the most t
 likelihood ratio), and, for low quality, numbers on how the whole text is written (``style``). The labels hold two marks, so the
 chain runs: low quality, toxic, both. A text is toxic if its probability of "toxic" is at least ``THRESHOLD``.
 
-The fit runs on at most ``ROWS`` labelled rows (lowest hash of the id, then of the text where ids have several; exact
+The table of labels has one mark of toxicity, so the chain can hold no more kinds of it. The fit runs on at most ``ROWS`` labelled rows (lowest hash of the id, then of the text where ids have several; exact
 copies once), all texts are scored in one
 map, whole, without a shuffle.
 
 Defined results: null and empty texts have no words and are scored by their emptiness; repeated rows each get their
-score; without labels every probability is 0.5 and nothing is toxic; an empty table gives none.
+score; an id with several labels is toxic if any says so and of low quality if any says so; a row of labels with a null
+mark is none; a null id is scored and not marked as held out; a probability of exactly the threshold is toxic; without
+labels every probability is 0.5 but those of toxic texts, 0, so nothing is toxic; an empty table gives none. Texts are
+read whole, a slice of the table at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import crc_mod, lower_ascii, words
+from tallymark.llm.common import crc_mod, lower_ascii, sliced, words
 from tallymark.llm.quality import _sigmoid
 from tallymark.llm.style import N_PLAIN, expand, style
 
@@ -143,7 +146,7 @@ def finder(model: Model) -> Callable[[str], list[list[int]]]:
     known: dict[str, tuple[tuple[int, int], ...]] = {}
 
     def find(text: str) -> list[list[int]]:
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         found: list[set[int]] = [set() for _ in model.kept]
         for w in set(words(text)):
@@ -164,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model | None:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(3).to_pylist()]
             buckets = [sorted({b for w in set(words(t)) for b in word_features(w)}) for t in texts]
             same = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1 for t in texts]
@@ -199,7 +202,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predicted = _probabilities(model)
-        for batch in batches:
+        for batch in sliced(batches):
             p = predicted(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, i]) for i in range(p.shape[1])]], ["doc_id", *[f"p_{c}" for c in CATEGORIES]])
 
@@ -212,7 +215,7 @@ def reject(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predicted = _probabilities(model)
-        for batch in batches:
+        for batch in sliced(batches):
             p = predicted(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(p[:, CATEGORIES.index("toxic")] < THRESHOLD))
 
@@ -222,4 +225,4 @@ def reject(df: DataFrame, labels: DataFrame) -> DataFrame:
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
