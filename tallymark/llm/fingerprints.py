@@ -9,23 +9,27 @@ samples estimates it without bias; its standard error is at most 0.5 / sqrt(samp
 A text is exploded into its distinct terms and aggregated at once by ``min`` over primitive longs (value above, hash of
 (term, t) below), in one generated stage: no array of variates exists, and nothing is shuffled for it.
 
-Neighbours by id: documents are dealt to buckets of consecutive ids (bounds from approximate quantiles), and the first
-document of a bucket is also put, marked, at the end of the one before; so the next document is always in the same
-bucket and each text is shuffled once. A bucket is sorted and streamed, spilling if need be.
+Neighbours by id: documents are dealt to buckets of consecutive (id, hash of text), whose number follows the rows of the
+table (bounds from a range partitioning of these keys alone), and the first document of a bucket is also put, marked, at
+the end of the one before; so the next document is always in the same bucket, each text is shuffled once, and an id that
+very many texts share is cut like any range. A row finds its bucket by binary search. A bucket is sorted and streamed,
+spilling if need be.
 
 Defined results: null is the empty text; the empty text has the empty fingerprint, alike to itself (1.0) and to
-nothing else (0.0); rows with equal ids follow each other by text; a null id comes first; a single document is its own
+nothing else (0.0); rows with equal ids follow each other by a hash of the text; a null id comes first; a single document is its own
 next; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 40
-#: About so many documents make a bucket, up to MOST_BUCKETS buckets (their bounds are one literal array).
-BUCKET_DOCS, MOST_BUCKETS = 512, 4096
+#: About so many documents make a bucket.
+BUCKET_DOCS = 512
 
 
 def word_hashes(text: Column) -> Column:
@@ -74,22 +78,52 @@ def fingerprint(signature: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""), F.lit(""))
 
 
+def cuts(keys: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """The first key of every bucket but the first: so many ranges of about equal numbers of rows. keys: k, h. A row for
+    each bucket comes to the driver."""
+    ranged = keys.repartitionByRange(buckets, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("low"))
+    return sorted({(r["low"]["k"], r["low"]["h"]) for r in ranged.collect()})[1:]
+
+
+def bucket_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the bounds (ascending) are at or below the key, a struct of two longs: by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in bounds])), "array<struct<k:bigint,h:bigint>>")
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = (s["low"] < s["high"]) & (F.get(table, middle) <= key)
+        high = F.when((s["low"] < s["high"]) & ~below, middle).otherwise(s["high"])
+        return F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"), high.alias("high"))
+
+    steps = len(bounds).bit_length()
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), span, halve, lambda s: s["low"])
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of BUCKET_DOCS rows; in large tables, where there are enough of them for any cluster, of up to 40 times as
+    many."""
+    return max(1, min(-(-rows // BUCKET_DOCS), max(4096, -(-rows // (40 * BUCKET_DOCS)))))
+
+
 def with_next(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, place, doc_id, text, next_text, extra): rows in the order of ids, with the text after each. Rows with
     ``extra`` repeat the first of the next bucket (of the first, at the very end)."""
     slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    slim = slim.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
     rows = slim.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-rows // BUCKET_DOCS)))
-    cuts = sorted(set(slim.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or [])) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    slim = slim.select(bucket.alias("bucket"), "doc_id", "text")
-    ids = slim.groupBy("bucket").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull()))
-    least = sorted(((b, None if none else low) for b, low, none in ids.collect()), key=lambda x: x[0])  # at most MOST_BUCKETS rows
-    before = F.create_map(*[F.lit(x) for i, (b, _) in enumerate(least) for x in (b, least[i - 1][0])] or [F.lit(0), F.lit(0)])
-    first = F.create_map(*[x for b, low in least for x in (F.lit(b), F.lit(low).cast("bigint"))] or [F.lit(0), F.lit(None).cast("bigint")])
-    heads = slim.where(F.col("doc_id").eqNullSafe(first[F.col("bucket")])).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    ends = heads.select(before[F.col("bucket")].alias("bucket"), "doc_id", "text", F.lit(True).alias("extra"))
-    order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
+    buckets = buckets_for(rows)
+    bounds = cuts(slim.select("k", "h"), buckets) if buckets > 1 else []
+    low = slim.agg(F.min(F.struct("k", "h")).alias("low")).first()["low"] if rows else None
+    slim = slim.select(bucket_of(F.struct("k", "h"), bounds).alias("bucket"), "k", "h", "doc_id", "text")
+    # a bound is the key of a row: the rows whose keys are bounds come first in their buckets
+    starts = [(low["k"], low["h"]), *bounds] if rows else []
+    table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in starts])), "array<struct<k:bigint,h:bigint>>")
+    heads = slim.where(F.struct("k", "h") == F.get(table, F.col("bucket"))).groupBy("bucket", "k", "h", "doc_id").agg(F.min("text").alias("text"))
+    ends = heads.select(F.when(F.col("bucket") == 0, F.lit(len(bounds))).otherwise(F.col("bucket") - 1).alias("bucket"), "k", "h", "doc_id", "text", F.lit(True).alias("extra"))
+    order = Window.partitionBy("bucket").orderBy("extra", "k", "h", "text")
     both = slim.withColumn("extra", F.lit(False)).unionByName(ends)
     return both.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "extra")
 
