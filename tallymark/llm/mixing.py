@@ -7,10 +7,11 @@
 3. A source's target is a number of whole copies of it plus a remainder below its size. The remainder is fitted on
    the size counts alone: an even share of each size's documents, then larger sizes first while they fit, and for
    what is left a bounded-knapsack dynamic programme that reaches the sum nearest to the budget.
-4. So many documents of each size are then taken by a seeded hash, split in hash buckets so that no task ranks all
-   documents of one size.
+4. So many documents of each size are then taken by a seeded hash, split in as many hash buckets as the table's rows
+   ask for, so that no task ranks all documents of one size.
 
-Only size counts ever meet in one task per source; documents never do. Two reruns take the same documents: ranks
+Only size counts ever meet in one task per source (a row for each exact length), and one row for each source in one
+task for the targets; documents never do. Two reruns take the same documents: ranks
 depend on the seed, the id and the text alone.
 
 Defined results: a null text has size 0; null sources are one source, last in order; documents of size 0 are taken 0
@@ -30,8 +31,9 @@ from tallymark.llm.common import WORD_SQL, staged
 
 #: The dynamic programme runs over at most so many words (its table has a bit for each, per size).
 BUDGET_WORDS = 1 << 16
-#: Documents of one source and size are dealt to so many buckets by hash.
-BUCKETS = 64
+#: Documents are dealt by hash to one bucket for so many of them: the number of buckets follows the table's rows, and even
+#: where all are of one source and size a task ranks about so many at a time.
+BUCKET_ROWS = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -124,7 +126,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 17, source: str = "source", text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """df with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes the document (0 to most)."""
     rank = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`").cast("string"), F.col(f"`{text}`"))
-    slim = df.withColumn("size", word_count(text)).withColumn("key", _source_key(F.col(f"`{source}`"))).withColumn("rank", rank).withColumn("bucket", F.pmod(F.shiftrightunsigned("rank", 20), F.lit(BUCKETS)))
+    slim = df.withColumn("size", word_count(text)).withColumn("key", _source_key(F.col(f"`{source}`"))).withColumn("rank", rank).withColumn("bucket", F.pmod(F.shiftrightunsigned("rank", 20), F.lit(1 + df.count() // BUCKET_ROWS)))
     by_bucket = slim.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_bucket = staged(by_bucket, "mix-counts")
     by_size = by_bucket.groupBy("key", "size").agg(F.sum("n").alias("n"))

@@ -11,7 +11,9 @@ third of all entries is no task's burden; a block returns the best of each of it
 gives the final ranks.
 
 ``share`` trades work for recall. The vectors of the test tables are nearly isotropic, the worst case of any index: on
-51,282 of them a walk over 0.1 of the entries finds about half of the 20 nearest, 0.4 finds 0.91, 0.6 finds 0.97.
+51,282 of them a walk over 0.1 of the entries finds about half of the 20 nearest, 0.4 finds 0.91, 0.6 finds 0.97. An
+entry is sent once for each chunk of BLOCK queries and a query once for each block of BLOCK entries, so what is moved is
+queries x entries / BLOCK rows; ``scanned`` says which share of all entries each query's walk covers.
 
 Defined results: null, zero, null-holding and non-finite vectors, those whose length is not the commonest one, and
 rows without an id take no part; rows that repeat an id and its vector are one entry, merged before the index is made,
@@ -22,6 +24,7 @@ fewer candidates than wanted are all returned; an empty table gives none; other
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +35,12 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import staged
 
-CENTROIDS, SAMPLE, BLOCK, BANDS = 64, 20_000, 4096, 8
+SAMPLE, BLOCK, BANDS = 20_000, 16_384, 8
+
+
+def centroids(entries: int) -> int:
+    """Centroids of each half: the grid of cells grows as the square root of the entries, to 1,024 x 1,024 at most."""
+    return 1 << min(10, max(3, round(math.log2(max(2, entries)) / 4 + 2)))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -90,7 +98,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_
     slim = slim.withColumn("v", F.col("v").cast("array<double>"))
     sample = _matrix(slim.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toPandas()["v"], width)
     cut = width // 2
-    c1, c2 = codebook(sample[:, :cut], CENTROIDS), codebook(sample[:, cut:], CENTROIDS)
+    k_half = centroids(slim.count())
+    c1, c2 = codebook(sample[:, :cut], k_half), codebook(sample[:, cut:], k_half)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +108,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_
 
     entries = staged(slim.mapInPandas(cells, "id bigint, v array<double>, q boolean, i int, j int"), "index-entries")
     counts = np.zeros((len(c1), len(c2)), dtype=np.int64)
-    for i, j, n in entries.groupBy("i", "j").count().collect():  # the grid: at most CENTROIDS squared
+    for i, j, n in entries.groupBy("i", "j").count().collect():  # the grid: 2^20 cells at most
         counts[i, j] = n
     total = int(counts.sum())
     rows_a_band = -(-len(c1) // BANDS)
@@ -157,5 +166,10 @@ def search(df: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, id_
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def scanned(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> float:
+    """The share of the entries in the cells that a walk visits."""
+    return sum(int(counts[c]) for c in walk(first, second, counts, wanted)) / max(1, int(counts.sum()))
+
+
 def digest(df: DataFrame) -> DataFrame:
     return search(df, F.col("vec_id") % 20 == 0)

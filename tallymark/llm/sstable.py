@@ -10,12 +10,12 @@ A shard holds the documents of one key range in key order. Its parts, in order:
 
 ``Shard.get`` asks the Bloom filter, finds the block by binary search in the index and decodes that block alone.
 
-Spark range-partitions and sorts the documents by id; each task writes its shard to the shared folder under a name of
+Spark range-partitions and sorts the documents by id, into as many shards as their characters ask for; each task writes its shard to the shared folder under a name of
 its own and renames it when whole, so a task that runs twice leaves no half-written shard under a final name; the
 manifest, stored as a table, names the shards that count.
 
 Defined results: a null text is empty; a null id sorts first, under the empty key; repeated ids keep all their rows, by
-text; an empty table gives no shard. Other columns are ignored.
+a hash of the text (so an id with very many texts is cut into shards like any range); an empty table gives no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import stage_root, staged
+from tallymark.llm.common import sliced, stage_root, staged
 from tallymark.llm.tokens import batches_of, encoder
 
 MAGIC = b"TMSSTAB1"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index place, length; filter place, length; documents, ids; hashes, checksum; magic
 BLOCK_BYTES = 1 << 18
+#: Characters of text that a shard stands for: shards grow in number, not in size.
+SHARD_CHARS = 64_000_000
 BITS_A_KEY = 10
 MANIFEST = "shard int, file string, first_key binary, last_key binary, n_docs bigint, n_ids bigint"
 
@@ -74,10 +76,11 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int, hashes: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % bits for i in range(hashes)]
+def _probes(digests: bytes | bytearray, bits: int, hashes: int) -> Iterator[np.ndarray]:
+    """Places in the Bloom filter of keys with these 128-bit digests, one after the other: by hash, of all keys."""
+    halves = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
+    for i in range(hashes):
+        yield (halves[:, 1] + np.uint64(i) * (halves[:, 0] | np.uint64(1))) % np.uint64(bits)
 
 
 class Writer:
@@ -87,9 +90,9 @@ class Writer:
         self.out, self.at, self.sum = out, 0, 0
         self.block, self.n, self.last, self.size = [], 0, b"", 0
         self.index: list[tuple[bytes, int, int, int]] = []
-        self.keys: list[bytes] = []
+        self.digests = bytearray()  # 16 bytes a key
         self.docs = self.ids = 0
-        self.first: bytes | None = None
+        self.first = self.before = None
         self.pack = zstandard.ZstdCompressor(level=1).compress
 
     def _put(self, data: bytes) -> tuple[int, int]:
@@ -112,14 +115,16 @@ class Writer:
         wide = np.frombuffer(ids, "<u4")
         width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
         value = wide.astype("<u2").tobytes() if width == 2 else ids
+        before = self.before
+        self.before = key
         entry = b"".join((_varint(shared), _varint(len(key) - shared), key[shared:], _varint(len(wide)), bytes([width]), value))
         self.block.append(entry)
         self.size += len(entry)
         self.n, self.last = self.n + 1, key
         self.docs += 1
         self.ids += len(wide)
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if self.docs == 1 or key != before:
+            self.digests += xxhash.xxh3_128_digest(key)
         if self.size >= BLOCK_BYTES:
             self._flush()
 
@@ -132,10 +137,10 @@ class Writer:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(length) + _varint(n) for k, at, length, n in self.index)
         index_place = self._put(self.pack(index))
-        hashes, bits = 7, max(64, len(self.keys) * BITS_A_KEY)
+        hashes, bits = 7, max(64, len(self.digests) // 16 * BITS_A_KEY)
         flags = np.zeros(bits, dtype=bool)
-        for k in self.keys:
-            flags[_probes(k, bits, hashes)] = True
+        for places in _probes(self.digests, bits, hashes):
+            flags[places] = True
         bloom_place = self._put(struct.pack("<Q", bits) + np.packbits(flags, bitorder="little").tobytes())
         self._put(FOOTER.pack(*index_place, *bloom_place, self.docs, self.ids, hashes, self.sum, MAGIC))
 
@@ -196,7 +201,7 @@ class Shard:
         if self.filter is None:
             self.filter = self._at(*self.bloom)
         bits = struct.unpack("<Q", self.filter[:8])[0]
-        return all(self.filter[8 + (p >> 3)] >> (p & 7) & 1 for p in _probes(key, bits, self.hashes))
+        return all(self.filter[8 + (p >> 3)] >> (p & 7) & 1 for p in (int(x[0]) for x in _probes(xxhash.xxh3_128_digest(key), bits, self.hashes)))
 
     def get(self, key: bytes) -> list[bytes]:
         """The ids of every document under the key."""
@@ -226,7 +231,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
         files, root = _file_system(folder)
         shard = TaskContext.get().partitionId()
         name = f"{root}/{shard:07d}-{uuid.uuid4().hex}.sst"
-        for batch in batches:
+        for batch in sliced(batches):
             keys = iter(batch.column(0).to_pylist())
             for some in batches_of(batch.column(1).to_pylist()):
                 for ids in encoder(tokenizer).encode(some):
@@ -241,8 +246,10 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
             row = {"shard": shard, "file": f"{folder}/{name.rsplit('/', 1)[1]}", "first_key": writer.first, "last_key": writer.last, "n_docs": writer.docs, "n_ids": writer.ids}
             yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST_ARROW)
 
-    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("v"))
-    return staged(slim.repartitionByRange("k").sortWithinPartitions("k", "v").mapInArrow(shards, MANIFEST), "sstable-manifest")
+    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("k"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("v"))
+    chars = slim.agg(F.coalesce(F.sum(F.char_length("v")), F.lit(0))).first()[0]
+    ranged = slim.repartitionByRange(1 + chars // SHARD_CHARS, "k", "h").sortWithinPartitions("k", "h", "v")
+    return staged(ranged.select("k", "v").mapInArrow(shards, MANIFEST), "sstable-manifest")
 
 
 _MANIFEST_ARROW = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
