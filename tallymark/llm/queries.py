@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallymark.llm import fingerprints, jaccard_join, lm, mixing, neighbours, packing, quality, secrets, sstable, toxicity
 from tallymark.llm.common import documents
 
@@ -59,5 +61,66 @@ QUERIES = {
     "op10_sorted_shards": op10_sorted_shards,
 }
 
-#: DuckDB SQL where SQL can say it.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def llm_source_targets(spark, sf_dir):
+    """The part of the source mix that SQL can say: sizes and targets."""
+    return mixing.digest(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def llm_edited_texts(spark, sf_dir):
+    """The part of the fingerprints that SQL can say: lengths and edited texts."""
+    return fingerprints.digest(documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256")
+
+
+def llm_neighbours_whole_walk(spark, sf_dir):
+    """A walk over all cells finds the exact neighbours."""
+    found = neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, share=1.0)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 9).alias("score"))
+
+
+QUERIES |= {"llm_source_targets": llm_source_targets, "llm_edited_texts": llm_edited_texts, "llm_neighbours_whole_walk": llm_neighbours_whole_walk}
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _spans_sql(n: int, rule: secrets.Rule) -> str:
+    """(doc_id, rule, kind, base, start, stop): matches of one rule. A match is marked by characters that no text holds, so its
+    place is the length of all before it."""
+    pattern, flag = rule.pattern.replace("'", "''"), "gi" if rule.ignore_case else "g"
+    if rule.kind == "hex":
+        pattern = "[0-9a-f]+"
+    kept = f"regexp_extract(hit, '{pattern}', {rule.group}, '{flag[1:]}')" if rule.group else "hit"
+    return f"""SELECT doc_id, {n} AS rule, '{rule.kind}' AS kind, {str(rule.base).upper()} AS base, place AS start, place + length(hit) AS stop FROM (
+      SELECT doc_id, string_split(parts[i], chr(57345))[1] AS hit, length(replace(array_to_string(parts[1:i - 1], ''), chr(57345), '')) AS place
+      FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(57344) || '\\0' || chr(57345), '{flag}'), chr(57344)) AS parts FROM documents))) WHERE length({kept}) >= {rule.least}"""
+
+
+#: DuckDB SQL where SQL can say it. The others are tested against brute force (op1, op2, op3, op6, op9, op10) or on held-out
+#: rows (op4, op8).
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scan": "WITH hits AS ("
+    + " UNION ALL ".join(_spans_sql(n, r) for n, r in enumerate(secrets.RULES))
+    + """), named AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM hits)
+    SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      sha256(coalesce(string_agg(span, ',' ORDER BY start, rule) FILTER (base), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rule), '') AS spans
+    FROM documents d LEFT JOIN named n ON d.doc_id = n.doc_id GROUP BY d.doc_id""",
+    "op7_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    v AS (SELECT doc_id, {_WORDS} AS ws FROM w),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM v),
+    e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    alike AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    reach AS (SELECT x, y FROM alike UNION SELECT r.x, a.y FROM reach r JOIN alike a ON r.y = a.x)
+    SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(y) FROM reach WHERE x = s.doc_id), s.doc_id)) AS component_id, (SELECT count(*) FROM alike WHERE x = s.doc_id) AS n_links FROM s""",
+    "llm_source_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+    t AS (SELECT source, sum(size) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+    r AS (SELECT *, 3 * source_size / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS weights FROM t),
+    c AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER before, 0)) / (weights - coalesce(sum(w) OVER before, 0)) AS level FROM r WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT min(level) FILTER (ratio >= level) AS level FROM c WHERE ratio = (SELECT min(ratio) FROM c WHERE ratio >= level))
+    SELECT d.doc_id, d.size, CAST(c.source_size AS BIGINT) AS source_size, round(CAST(least(3 * c.source_size, l.level * c.w) AS DOUBLE), 6) AS target FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, l""",
+    "llm_edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER w, first_value(coalesce(text, '')) OVER w, '') AS next FROM documents WINDOW w AS (ORDER BY doc_id))
+    SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - length(text) // 2) || substring(next, 1, length(text) // 2)) AS edited_sha256 FROM d""",
+    "llm_neighbours_whole_walk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+    SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 9) AS score FROM p) WHERE rank <= 20""",
+}
