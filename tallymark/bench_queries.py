@@ -214,7 +214,7 @@ def effective_state_quarantine(spark, d):
     return E.quarantine_side(states(spark, d)).select("raw_id", "order_id", "effective_quality_state", "quarantined_at")
 
 
-@query("""SELECT raw_id, CASE WHEN raw_id % 10 = 0 THEN 2 END AS appearances FROM states WHERE (fine AND raw_id % 10 = 0) OR (NOT fine AND raw_id % 9 = 0)""")
+@query("""SELECT raw_id, CASE WHEN fine THEN 2 END AS appearances FROM states WHERE (fine AND raw_id % 10 = 0) OR (NOT fine AND raw_id % 9 = 0)""")
 def split_is_partition(spark, d):
     """The test of the split on sides that were tampered with: a tenth of the clean orders twice, some quarantined ones lost."""
     s = states(spark, d)
@@ -520,6 +520,11 @@ def breaker_calls(spark, d):
     return S.breaker_states(calls, seconds=1800.0, width=86_400.0).groupBy("service", "state").agg(F.count(F.lit(1)).alias("calls"))
 
 
+@query("SELECT raw_id, order_id, order_date, customer_id FROM ord WHERE raw_id IN (7, 77, 777, 12345)")
+def order_lookup(spark, d):
+    return staging.lookup(orders(spark, d), "raw_id", 7, 77, 777, 12345).select("raw_id", "order_id", "order_date", "customer_id")
+
+
 @query("SELECT e.event_id AS id, e.event_type FROM events e WHERE e.event_type = 'error' OR e.event_id % 50 = 0")
 def replay_selected(spark, d):
     """Records to process again, by status and by id."""

@@ -50,6 +50,11 @@ def watermark(spark: SparkSession, path: str, day: str = "day") -> dt.date | Non
     return max(days_of(spark, path, day), default=None)
 
 
+def lookup(df: DataFrame, key: str, *values: object) -> DataFrame:
+    """The rows of a few keys: pushed to the scan, which skips row groups by their bounds where the table is sorted by key."""
+    return df.where(F.col(key).isin(*values))
+
+
 def since(df: DataFrame, at: str, mark: dt.date | None) -> DataFrame:
     """Rows from the watermark's day on (again: late rows of that day must not be lost); all if there is none."""
     return df if mark is None else df.where(F.col(at) >= F.lit(mark).cast("timestamp_ntz"))

@@ -52,17 +52,18 @@ def orders(spark: SparkSession, n: int, seed: int = 1, dirty: float = 0.1, missi
             keep("shipping", F.when(first & bad(C.NON_FINITE_NUMBER), -987654321.0).otherwise(F.round(u("fee", k) * 20, 2))).alias("shipping_fee"),
         )
 
+    some = lambda name, x: F.when(u(f"has_{name}") >= missing_cost, x)  # noqa: E731  optional fields are left out at times
     payload = F.struct(
         F.format_string("O%d", i).alias("order_id"),
         F.when(bad(C.ORDER_DATE_IN_FUTURE), F.date_add(day, 400)).otherwise(day).cast("string").alias("order_date"),
-        pick(u("ship"), {"Standard": 3, " EXPRESS ": 1}).alias("ship_mode"),
-        pick(u("status"), {"Delivered": 8, "N/A": 1}).alias("order_status"),
+        some("ship_mode", pick(u("ship"), {"Standard": 3, " EXPRESS ": 1})).alias("ship_mode"),
+        some("order_status", pick(u("status"), {"Delivered": 8, "N/A": 1})).alias("order_status"),
         F.date_add(day, F.when(bad(C.DELIVERY_BEFORE_ORDER), -2).otherwise(F.floor(u("delivery") * 7)).cast("int")).cast("string").alias("delivery_date"),
         F.when(u("known") < 0.95, u("returned") < 0.12).alias("returned"),
         F.struct(F.when(u("anonymous") >= 0.03, F.concat(F.lit("C"), cust)).alias("customer_id"), F.when(bad(C.FIELD_TOO_LONG), F.repeat(F.lit("x"), 200)).otherwise(F.concat(F.lit("Customer "), cust)).alias("customer_name"), F.when(bad(C.AGE_OUT_OF_RANGE), 200).otherwise(18 + F.floor(u("age") * 60)).cast("bigint").alias("age")).alias("customer"),
-        F.struct(F.lit("Earth").alias("country"), pick(u("city"), {"Aville": 2, "Btown": 1}).alias("city")).alias("address"),
+        F.struct(F.lit("Earth").alias("country"), some("city", pick(u("city"), {"Aville": 2, "Btown": 1})).alias("city")).alias("address"),
         F.transform(F.sequence(F.lit(0), F.floor(u("items") * 4).cast("int")), item).alias("items"),
-        F.struct(pick(u("pay"), {"Card": 3, "cash": 1}).alias("payment_method"), F.when(bad(C.TAX_PCT_OUT_OF_RANGE), 120.0).otherwise(F.floor(u("tax") * 20).cast("double")).alias("tax_pct")).alias("payment"),
+        F.struct(some("payment_method", pick(u("pay"), {"Card": 3, "cash": 1})).alias("payment_method"), F.when(bad(C.TAX_PCT_OUT_OF_RANGE), 120.0).otherwise(F.floor(u("tax") * 20).cast("double")).alias("tax_pct")).alias("payment"),
         F.struct(F.when(bad(C.CUSTOMER_RATING_OUT_OF_RANGE), 9.0).otherwise(1 + F.floor(u("rating") * 5)).cast("double").alias("customer_rating")).alias("behavior"),
     )
     text = F.regexp_replace(F.to_json(payload), r"-9\.87654321E8|-987654321\.0", "NaN")
@@ -70,6 +71,16 @@ def orders(spark: SparkSession, n: int, seed: int = 1, dirty: float = 0.1, missi
     return df.select(i, received.alias("received_at"), text.alias("raw_payload"))
 
 
+def resent(raw: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
+    """raw and, after it, a share of its records once more: half of them word for word, half altered under the same order
+    id. What lands twice must count once, and the first must win."""
+    again = raw.where(draw(seed, "resent", F.col("id")) < share)
+    altered = F.regexp_replace("raw_payload", r"^\{", '{"ship_mode":"again",')
+    later = F.col("received_at") + F.make_dt_interval(F.lit(0), F.lit(1))
+    again = again.select((-1 - F.col("id")).alias("id"), later.alias("received_at"), F.when(draw(seed, "altered", F.col("id")) < 0.5, altered).otherwise(F.col("raw_payload")).alias("raw_payload"))
+    return raw.unionByName(again)
+
+
 def land(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw (id, received_at, raw_payload) to landed orders and their initial events: the batch form of the worker."""
     from tallymark.operators import events, ingest, rules
@@ -77,7 +88,7 @@ def land(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the flat orders are stored: a filter on what was coerced would otherwise drag the whole reading of the JSON along
     flat = stored(ingest.flatten(ingest.parse(raw)), "flat-orders")
     good = flat.where("status = 'processed'").withColumnRenamed("id", "raw_id")
-    good = ingest.drift(events.first_write(good, "order_id", ["raw_id"])).where("status = 'processed'")
+    good = ingest.drift(events.first_write(good, "order_id", ["received_at", "raw_id"])).where("status = 'processed'")
     ods = rules.evaluate(rules.normalise(good), F.col("received_at")).withColumn("id", F.col("raw_id")).drop("raw_payload", "v", "status", "error_message")
     ods = stored(ods, "landed-orders")
     return ods, events.initial_events(ods)

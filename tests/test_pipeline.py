@@ -27,6 +27,14 @@ def test_generator_is_seeded(spark):
     assert a == b and a != sorted(r["raw_payload"] for r in generator.orders(spark, 50, seed=5).collect())
 
 
+def test_what_is_sent_again_counts_once(spark):
+    raw = generator.orders(spark, 60, seed=4)
+    both = generator.resent(raw, 0.5, seed=2)
+    assert both.count() > 70 and both.where("raw_payload like '%again%'").count() > 3
+    ods, log = generator.land(both)
+    assert ods.count() == log.count() == 60 and ods.where("raw_id < 0").count() == 0
+
+
 def test_run_builds_and_tests_all_models(spark, landed, tmp_path):
     ods, log = landed
     copies = ods.unionByName(ods.where("raw_id % 7 = 0").withColumn("id", F.col("id") + 10_000))
