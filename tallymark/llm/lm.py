@@ -39,6 +39,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -54,7 +55,7 @@ from tallymark.llm.common import crc_mod, lower_ascii, sliced, staged, words
 CLASSES = SLOTS = 32
 #: The first half of the leaves: the end and the common words.
 COMMON = CLASSES * SLOTS // 2 - 1
-SAMPLE, ROUNDS, BLOCK_ROWS, SLICE = 4000, 4, 128, 1 << 14
+SAMPLE, ROUNDS, BLOCK_ROWS, SLICE = 4000, 4, 128, 1 << 15
 RATE, DAMP = 0.6, 15.0
 #: Bytes of a (compressed) file that are scored together.
 CHUNK_BYTES = 8_000_000
@@ -100,13 +101,15 @@ class Words:
         self.number.update(zip(new, range(at, end), strict=True))
 
     def numbers(self, ws: list[str]) -> np.ndarray:
-        try:
-            return np.array([*map(self.number.__getitem__, ws)], dtype=np.int64)
-        except KeyError:
-            if len(self.number) > self.keep:
-                self.clear()
-            self.add([w for w in set(ws) if w not in self.number])
-            return np.array([*map(self.number.__getitem__, ws)], dtype=np.int64)
+        if self.size > self.keep:
+            self.clear()
+        ids = np.array([*map(self.number.get, ws, repeat(-1))], dtype=np.int64)
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            unknown = [ws[i] for i in new.tolist()]
+            self.add([*dict.fromkeys(unknown)])
+            ids[new] = [*map(self.number.__getitem__, unknown)]
+        return ids
 
 
 _MEMORY = Words()  # kept by a Python worker from task to task
@@ -179,13 +182,14 @@ class Context:
         return [np.zeros(n, dtype=np.int32), *of_class], [k[3:].astype(np.int32), *of_slot]
 
 
-def probabilities(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, their log-sum): tokens x width, tokens."""
+def probabilities(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, their exponentials, sums of these): tokens x width, the same, tokens. The constants' greatest weight is 0 and the steps
+    are bounded, so no exponential overflows."""
     z = w.take(rows[0], axis=0)
     for r in rows[1:]:
         z += w.take(r, axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    return z, np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+    e = np.exp(z)
+    return z, e, e.sum(axis=1, dtype=np.float64)
 
 
 def space_of(chars: int) -> int:
@@ -198,8 +202,8 @@ def gradient(df: DataFrame, w: list[np.ndarray], common: tuple[str, ...]) -> tup
     cells = space * width
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, context = memory(common), Context(space)
-        seen, expected = np.zeros((2, cells), dtype=np.int64), np.zeros((2, space, width), dtype=np.int64)
+        known, context, across = memory(common), Context(space), np.arange(width)
+        seen, expected = np.zeros((2, cells), dtype=np.int64), np.zeros((2, cells))
         hits: tuple[list, list] = ([], [])
 
         def count() -> None:
@@ -213,19 +217,17 @@ def gradient(df: DataFrame, w: list[np.ndarray], common: tuple[str, ...]) -> tup
                 ids = known.numbers(ws)
                 leaves = known.leaves[ids]
                 for level, (f, want) in enumerate(zip(context.rows(known.hashes[ids], leaves), (leaves // SLOTS, leaves % SLOTS), strict=True)):
-                    z, total = probabilities(w[level], f)
-                    z -= total[:, None].astype(np.float32)
-                    p = np.rint(np.exp(z) * np.float32(UNIT)).astype(np.int32)
+                    _, e, total = probabilities(w[level], f)
+                    p = np.rint(e * (UNIT / total)[:, None]).ravel()  # whole numbers: their sums are exact in any order
                     for r in f:
-                        hits[level].append(r * width + want)
-                        order = np.argsort(r, kind="stable")
-                        mine = r[order]
-                        starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-                        expected[level, mine[starts]] += np.add.reduceat(p.take(order, axis=0), starts, axis=0)
-                if len(hits[0]) > 400:
+                        at = r * width
+                        hits[level].append(at + want)
+                        most = int(r.max()) + 1
+                        expected[level, : most * width] += np.bincount((at[:, None] + across).ravel(), p, minlength=most * width)
+                if len(hits[0]) > 100:
                     count()
         count()
-        expected = expected.reshape(2, cells)
+        expected = expected.astype(np.int64)
         step = BLOCK_ROWS * width
         blocks = [(level * cells + b, seen[level, b : b + step].tobytes(), expected[level, b : b + step].tobytes()) for level in (0, 1) for b in range(0, cells, step)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blocks, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "seen", "expected"])
@@ -284,6 +286,8 @@ def train(texts: DataFrame, begin: Start, chars: int, rounds: int = ROUNDS) -> l
     by_class = begin.leaves.reshape(CLASSES, SLOTS)
     w[0][0] = np.log(by_class.sum(axis=1) + 1)
     w[1][:CLASSES] = np.log(by_class + 0.5)
+    w[0][0] -= w[0][0].max()
+    w[1][:CLASSES] -= w[1][:CLASSES].max(axis=1, keepdims=True)
     tasks = max(8, chars // rounds // (2048 * space))
     for n in range(rounds):
         share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == n).select("text").coalesce(tasks)
@@ -306,8 +310,8 @@ def log_probabilities(model: Model, hashes: np.ndarray, leaves: np.ndarray, coun
     """log10 P of each token of a slice."""
     out = np.zeros(len(hashes))
     for w, f, want in zip(model.weights, context.rows(hashes, leaves), (leaves // SLOTS, leaves % SLOTS), strict=True):
-        z, total = probabilities(w, f)
-        out += z[np.arange(len(z)), want] - total
+        z, _, total = probabilities(w, f)
+        out += z[np.arange(len(z)), want] - np.log(total)
     shared = leaves > COMMON
     out /= np.log(10)
     out[shared] += np.log10(counts[shared] + 1.0) - np.log10(model.leaves[leaves[shared]].sum(axis=1) + 1.0)

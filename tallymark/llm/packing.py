@@ -2,8 +2,9 @@
 
 Documents are encoded and only those above the sequence length are cut: full pieces, the first one taking the
 remainder. Full pieces are sequences already. The others are items that are packed in rounds: Spark deals the items to
-tasks by hash, each task packs its own best-fit in decreasing order, nearly full bins are final, and the underfull
-bins go, as items of the next round, to as many fewer tasks, until one task takes them all or a round no longer helps. A bin
+tasks by hash, each task packs its own best-fit in decreasing order; nearly full bins, and bins that not even the least
+item there is fits into, are final. The underfull bins go, as items of the next round, dealt anew, to as many fewer tasks,
+until one task takes them all (or two rounds on end put together less than 2 % of what several tasks hold). A bin
 carries its members with it, at most as many as it has tokens, so nothing is joined back at the end.
 
 Bounds: a task sees about ``ITEMS`` pieces, whatever the input. Each round is stored as a table in the shared folder,
@@ -75,7 +76,7 @@ def best_fit(fills: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def _round(items: DataFrame, tasks: int, level: int, length: int, slack: int, last: bool) -> DataFrame:
+def _round(items: DataFrame, tasks: int, level: int, length: int, slack: int, least: int, last: bool) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
@@ -96,12 +97,12 @@ def _round(items: DataFrame, tasks: int, level: int, length: int, slack: int, la
             ends = np.concatenate([[0], np.cumsum(np.asarray(taken.value_lengths()))])[starts]
             fills = np.add.reduceat(fill[flat], starts[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten()), pa.array(fills), pa.array((fills >= length - slack) | last), pa.array(base + at + np.arange(len(some)))],
+                [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten()), pa.array(fills), pa.array((fills >= length - slack) | (fills + least > length) | last), pa.array(base + at + np.arange(len(some)))],
                 ["members", "fill", "final", "sequence_id"],
             )
 
     head = F.col("members")[0]
-    dealt = items.select("members", "fill").repartition(tasks, F.xxhash64(head["doc_id"], head["piece"], head["ids_crc32"]))
+    dealt = items.select("members", "fill").repartition(tasks, F.xxhash64(head["doc_id"], head["piece"], head["ids_crc32"], F.lit(level)))
     return staged(dealt.mapInArrow(pack, _BIN), f"packing-{level}")
 
 
@@ -112,16 +113,18 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024, sla
     full = all_pieces.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     own = F.struct(*[F.col(f.name) for f in _PIECE])
     items = all_pieces.where(F.col("length") < length).select(F.array(own).alias("members"), F.col("length").alias("fill"))
-    held = bins = items.count()  # pieces in the bins that are not final yet, and those bins
-    level, done = 0, []
+    of = (F.count(F.lit(1)), F.coalesce(F.sum(F.size("members")), F.lit(0)), F.coalesce(F.min("fill"), F.lit(0)))
+    bins, held, least = items.agg(*of).first()  # bins that are not final yet, the pieces in them, the least fill
+    level, idle, done = 0, 0, []
     while bins:
         tasks = -(-held // ITEMS)
-        packed = _round(items, tasks, level, length, slack, tasks == 1)
+        packed = _round(items, tasks, level, length, slack, least, tasks == 1)
         done.append(packed.where("final"))
         items = packed.where("not final")
         level, before = level + 1, bins
-        bins, held = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
-        if bins > 0.98 * before:  # a round no longer helps: what is left stays as it is
+        bins, held, least = items.agg(*of).first()
+        idle = idle + 1 if bins > 0.98 * before else 0
+        if idle == 2:  # two rounds, dealt differently, found no more to put together
             done.append(items)
             break
     out = full
