@@ -193,7 +193,7 @@ def probabilities(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np
 
 
 def space_of(chars: int) -> int:
-    return 1 << min(16, max(12, round(math.log2(max(1, chars) / (1 << 15)))))
+    return 1 << min(16, max(12, round(math.log2(max(1, chars) / (1 << 17)))))
 
 
 def gradient(df: DataFrame, w: list[np.ndarray], common: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def gradient(df: DataFrame, w: list[np.ndarray], common: tuple[str, ...]) -> tup
                     hits[level].clear()
 
         for batch in sliced(batches):
-            for ws, _ in slices(batch.column(0).to_pylist()):
+            for ws, _ in slices(batch.column(0).to_pylist(), max(SLICE, 2 * space)):
                 ids = known.numbers(ws)
                 leaves = known.leaves[ids]
                 for level, (f, want) in enumerate(zip(context.rows(known.hashes[ids], leaves), (leaves // SLOTS, leaves % SLOTS), strict=True)):
