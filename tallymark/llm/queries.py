@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymark.llm import fingerprints, jaccard_join, lm, mixing, neighbours, packing, quality, secrets, sstable, toxicity
+from tallymark.llm import filter_audit, fingerprints, jaccard_join, lm, mixing, neighbours, packing, quality, secrets, sstable, substring_dedup, toxicity, whitening
 from tallymark.llm.common import documents
 
 
@@ -48,6 +48,18 @@ def op10_sorted_shards(spark, sf_dir):
     return sstable.digest(documents(spark, sf_dir))
 
 
+def op11_chan_whitening(spark, sf_dir):
+    return whitening.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_fm_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sorted_shards": op10_sorted_shards,
+    "op11_chan_whitening": op11_chan_whitening,
+    "op12_fm_substring_dedup": op12_fm_substring_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
@@ -79,7 +94,12 @@ def llm_neighbours_whole_walk(spark, sf_dir):
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 9).alias("score"))
 
 
-QUERIES |= {"llm_source_targets": llm_source_targets, "llm_edited_texts": llm_edited_texts, "llm_neighbours_whole_walk": llm_neighbours_whole_walk}
+def llm_whitening_deviation(spark, sf_dir):
+    """The part of the whitening that SQL can say: the fit list's size and the exact deviations."""
+    return whitening.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "component", "n", "deviation")
+
+
+QUERIES |= {"llm_source_targets": llm_source_targets, "llm_edited_texts": llm_edited_texts, "llm_neighbours_whole_walk": llm_neighbours_whole_walk, "llm_whitening_deviation": llm_whitening_deviation}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -123,4 +143,28 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - length(text) // 2) || substring(next, 1, length(text) // 2)) AS edited_sha256 FROM d""",
     "llm_neighbours_whole_walk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
     SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 9) AS score FROM p) WHERE rank <= 20""",
+    "llm_whitening_deviation": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    f AS (SELECT DISTINCT x FROM v), e AS (SELECT unnest(x) AS c, unnest(range(len(x))) AS i FROM f), s AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, sum(c) AS t FROM e GROUP BY i)), m AS (SELECT count(*) AS n FROM f)
+    SELECT vec_id, component, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - t[i]) * (n * x[i] - t[i]))) AS BIGINT) AS deviation FROM v, s, m, (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS component)""",
+    "op12_fm_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+    f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM w JOIN f USING (g) WHERE least < doc_id)),
+    t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+    k AS (SELECT doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p) AS text FROM t ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op13_filter_audit": f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM d LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substring(filter_order, CAST(step AS INTEGER), 1) AS f, '[' || substring(filter_order, 1, CAST(step AS INTEGER)) || ']' AS upto, '[' || substring(filter_order, 1, CAST(step AS INTEGER) - 1) || '-]' AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT regexp_matches(fails, upto)) AS kept, sum(n) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)) AS removed,
+      sum(n) FILTER (contains(fails, f) AND regexp_matches(fails, before)) AS redundant, sum(n) FILTER (fails = f) AS unique_fails, sum(good) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)) AS good_lost,
+      sum(toxic) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM r""",
 }
