@@ -9,73 +9,137 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from tallymark.operators import events, ingest, rules
+from tallymark.operators import events, ingest, retries, rules
 from tallymark.operators.staging import recoverable
+from tallymark.sources.manifest import Manifest, Version
 from tallymark.sources.store import stored
 
 
 def documents_in(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """A stream of JSON files, one order a line, with the instant and the id of arrival derived from the file."""
+    """A stream of files of JSON, one order a line, each with the instant at which its file arrived."""
     lines = spark.readStream.options(**options).text(folder)
-    at = F.col("_metadata.file_modification_time")
-    return lines.select(F.xxhash64("_metadata.file_path", "value").alias("id"), at.alias("received_at"), F.col("value").alias("raw_payload"))
-
-
-_JUDGED = "id bigint, received_at timestamp, raw_payload string, order_id string, status string, error_message string"
-
-
-def first_writes(source: DataFrame) -> DataFrame:
-    """The stream's records with their status: the first of each order is processed, later ones, of this batch or of a
-    later one, are duplicates, what cannot be read is an error. The state keeps one number for each order that was
-    processed; a batch looks up its own orders alone, however long the stream has run."""
-    flat = ingest.flatten(ingest.parse(source)).select("id", "received_at", "raw_payload", "order_id", "status", "error_message")
-    key = F.when(F.col("status") == "processed", F.concat(F.lit("o"), F.col("order_id"))).otherwise(F.concat(F.lit("e"), F.col("id").cast("string")))
-
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).drop_duplicates("id").sort_values(["received_at", "id"])
-        if key[0].startswith("o"):
-            known = state.exists
-            rows["status"] = ["duplicate" if known or i else "processed" for i in range(len(rows))]
-            if not known:
-                state.update((int(rows["id"].iloc[0]),))
-        yield rows.drop(columns="_key")
-
-    return flat.withColumn("_key", key).groupBy("_key").applyInPandasWithState(judge, _JUDGED, "first bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def land_batch(judged: DataFrame, batch_id: int, root: str) -> None:
-    """One micro-batch to ``root``: orders, events and status of every record, each under a folder named for the batch
-    and overwritten if the batch runs again. The status comes last; ``landed`` shows only batches that have one."""
-    spark = judged.sparkSession
-    judged = stored(judged, "judged-batch")
-    good = ingest.flatten(ingest.parse(judged.where("status = 'processed'").select("id", "received_at", "raw_payload"))).withColumnRenamed("id", "raw_id")
-    good = stored(good, "flat-batch")
-    ods = rules.evaluate(rules.normalise(ingest.drift(good)), F.col("received_at")).withColumn("id", F.col("raw_id"))
-    written = f"{root}/orders/batch={batch_id}"
-    ods.drop("raw_payload", "v", "status", "error_message").write.mode("overwrite").parquet(written)
-    events.initial_events(spark.read.parquet(written)).write.mode("overwrite").parquet(f"{root}/quality_events/batch={batch_id}")
-    judged.select(F.col("id").alias("raw_id"), "order_id", "status", "error_message").write.mode("overwrite").parquet(f"{root}/status/batch={batch_id}")
-
-
-def land_stream(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """All documents there are, then stop; offsets in ``checkpoint`` stand in for claims on single records."""
-    judged = first_writes(source).observe("landing", F.count(F.lit(1)).alias("records"), *[F.count_if(F.col("status") == s).alias(s) for s in ("processed", "duplicate", "error")])
-    return judged.writeStream.foreachBatch(lambda df, n: land_batch(df, n, root)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def landed(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A landed table (orders, quality_events or status), without batches that were not finished."""
-    done = spark.read.parquet(f"{root}/status").select("batch").distinct()
-    return spark.read.parquet(f"{root}/{table}").join(done, "batch", "left_semi")
+    return lines.select(F.col("_metadata.file_modification_time").alias("received_at"), F.col("value").alias("raw_payload"))
+
+
+def read_once(source: DataFrame) -> DataFrame:
+    """The records as flat orders with their drift and with ``status`` processed or error: all that is ever read of the JSON."""
+    return ingest.drift(ingest.flatten(ingest.parse(source))).drop("v", "odd")
+
+
+#: A record's id holds its batch, its file in the batch and its row in the file.
+_FILE_BITS, _ROW_BITS = 14, 27
+
+
+def _numbered(rows: DataFrame, files: list[str], batch: int) -> DataFrame:
+    """rows (with ``file`` and ``row``) with their ids; equal lines of a file have ids of their own."""
+    if len(files) >= 1 << _FILE_BITS or batch >= 1 << (63 - _FILE_BITS - _ROW_BITS):
+        raise ValueError(f"batch {batch} of {len(files)} files: ids have no room for it")
+    spark = rows.sparkSession
+    numbers = spark.createDataFrame([(f, (batch << (_FILE_BITS + _ROW_BITS)) + (i << _ROW_BITS)) for i, f in enumerate(files)], "file string, _base bigint")
+    room = F.when(F.col("row") < 1 << _ROW_BITS, F.col("_base") + F.col("row")).otherwise(F.raise_error(F.lit("a file has too many rows")))
+    return rows.join(F.broadcast(numbers), "file").withColumn("id", room).drop("_base")  # a row a file of the batch
+
+
+def with_new_keys(rows: DataFrame) -> DataFrame:
+    """The stream's records, and a row (``new``) for each order that no earlier batch had. Spark's own state holds the orders'
+    ids; all else about them is decided in the batch, by joins."""
+    slim = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "received_at", "order_id", "status", "error_message")
+    keys = slim.where("status = 'processed'").select("order_id").dropDuplicates(["order_id"])
+    return slim.withColumn("new", F.lit(False)).unionByName(keys.withColumn("new", F.lit(True)), allowMissingColumns=True)
+
+
+def judge(batch: DataFrame) -> DataFrame:
+    """Records with ids and rows ``new`` to (id, file, row, order_id, status, error_message): of each new order the first by
+    (received_at, id) is processed, all other readable records are duplicates."""
+    records = batch.where("not new")
+    first = records.where("status = 'processed'").groupBy("order_id").agg(F.min(F.struct("received_at", "id")).alias("first"))
+    won = first.join(batch.where("new").select("order_id"), "order_id", "left_semi").select(F.col("first.id").alias("id"), F.lit(True).alias("won"))
+    status = F.when(F.col("status") == "error", "error").when(F.col("won"), "processed").otherwise("duplicate")
+    message = F.when(status == "duplicate", F.concat(F.lit("already landed: "), "order_id")).otherwise(F.col("error_message"))
+    return records.join(won, "id", "left").select("id", "file", "row", "order_id", status.alias("status"), message.alias("error_message"))
+
+
+def land_batch(batch: DataFrame, number: int, root: str, schema: StructType, work: retries.Work | None = None) -> None:
+    """One micro-batch of ``with_new_keys`` into the manifest at ``root``: orders, events and a status for every record, in one
+    commit. ``work`` may fail records (``retries``): these wait with their attempts or become dead letters."""
+    spark, m = batch.sparkSession, Manifest(batch.sparkSession, root)
+    batch = stored(batch, "landing-batch")  # the state is asked once
+    files = sorted(r[0] for r in batch.where("not new").select("file").distinct().collect())  # of one trigger
+    if not files:
+        return
+    keys = batch.where("new").withColumn("id", F.lit(None).cast("bigint"))
+    judged = stored(judge(_numbered(batch.where("not new"), files, number).unionByName(keys)), "judged-batch")
+    won = judged.where("status = 'processed'").select("id")
+    rows = spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    good = _numbered(rows.where("status = 'processed'"), files, number).join(won, "id", "left_semi").drop("file", "row", "raw_payload", "status", "error_message")
+    ods = rules.evaluate(rules.normalise(good.withColumnRenamed("id", "raw_id")), F.col("received_at")).withColumn("id", F.col("raw_id"))
+    counts = {r[0]: r[1] for r in judged.groupBy("status").count().collect()}
+
+    def plan(v: Version) -> dict | None:
+        if v.writers.get("landing", -1) >= number:
+            return None
+        status = judged.withColumnRenamed("id", "raw_id")
+        add, remove, done = {}, {}, ods
+        if work is not None:
+            done, logs, later = retries.pass_over(m, v, ods, work, F.current_timestamp(), "raw_id")
+            add = {n: m.write(n, df) for n, df in logs.items()} | {"retries": m.write("retries", later)}
+            done, remove = done.drop("attempt"), {"retries": v.folders.get("retries", [])}
+        orders = m.write("orders", done)
+        events_ = m.write("quality_events", events.initial_events(spark.read.parquet(f"{root}/{orders[0]}")))
+        add |= {"orders": orders, "quality_events": events_, "status": m.write("status", status)}
+        return {"add": add, "remove": remove, "writer": "landing", "batch": number, "counts": {"records": sum(counts.values()), **counts}}
+
+    m.transact(plan)
+
+
+def work_again(spark: SparkSession, root: str, work: retries.Work, now=None) -> Version:
+    """Another attempt for the landed orders that wait and are due, with a joint commit of what succeeds."""
+    m = Manifest(spark, root)
+
+    def plan(v: Version) -> dict:
+        done, logs, later = retries.pass_over(m, v, None, work, F.current_timestamp() if now is None else now, "raw_id")
+        orders = m.write("orders", done.drop("attempt"))
+        add = {"orders": orders, "quality_events": m.write("quality_events", events.initial_events(spark.read.parquet(f"{root}/{orders[0]}"))), "retries": m.write("retries", later), **{n: m.write(n, df) for n, df in logs.items()}}
+        return {"add": add, "remove": {"retries": v.folders["retries"]}, "writer": "again"}
+
+    return m.transact(plan)
+
+
+def land_stream(source: DataFrame, root: str, checkpoint: str, files_per_batch: int = 1000, work: retries.Work | None = None) -> StreamingQuery:
+    """All documents there are, then stop. A first query reads the JSON once into ``bronze`` and ends before the second one
+    starts, which judges the records of bronze and commits them; the second is returned, running. Orders seen before are kept in
+    a RocksDB state store, offsets in ``checkpoint``."""
+    spark, read = source.sparkSession, read_once(source)
+    read.writeStream.format("parquet").option("path", f"{root}/bronze").option("checkpointLocation", f"{checkpoint}/bronze").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.readStream.schema(read.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/bronze")
+    provider, before = "spark.sql.streaming.stateStore.providerClass", None
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        land = lambda df, n: land_batch(df, n, root, read.schema, work)
+        return with_new_keys(rows).writeStream.queryName("landing").foreachBatch(land).option("checkpointLocation", f"{checkpoint}/landing").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+def landed(spark: SparkSession, root: str, table: str, version: Version | None = None) -> DataFrame:
+    """A landed table (orders, quality_events, status), as of one version: the newest, or one shared by several reads."""
+    return Manifest(spark, root).table(table, version)
+
+
+def raw_records(spark: SparkSession, root: str) -> DataFrame:
+    """(id, received_at, raw_payload) of every landed record."""
+    rows = spark.read.parquet(f"{root}/bronze").select("received_at", "raw_payload", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(landed(spark, root, "status").select(F.col("raw_id").alias("id"), "file", "row"), ["file", "row"]).select("id", "received_at", "raw_payload")
 
 
 class LandingMetrics(StreamingQueryListener):
-    """Records and statuses of each batch, as the stream reports them."""
+    """Of each micro-batch: seconds, input rows, and the rows and bytes of its state."""
 
-    def __init__(self) -> None:
-        self.batches: list[dict] = []
+    def __init__(self, name: str = "landing") -> None:
+        self.name, self.batches = name, []
 
     def onQueryStarted(self, event) -> None: ...
 
@@ -85,8 +149,8 @@ class LandingMetrics(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        if (row := p.observedMetrics.get("landing")) is not None:
-            self.batches.append({"batch": p.batchId, "seconds": p.batchDuration / 1000, **row.asDict()})
+        if p.name == self.name and p.stateOperators:
+            self.batches.append({"batch": p.batchId, "seconds": p.batchDuration / 1000, "state_rows": sum(s.numRowsTotal for s in p.stateOperators), "state_bytes": sum(s.memoryUsedBytes for s in p.stateOperators)})
 
 
 def replay(raw: DataFrame, status: DataFrame, ids: DataFrame | None = None, statuses: Iterable[str] = ()) -> DataFrame:

@@ -175,42 +175,6 @@ def test_try_all_reports_every_failure():
     assert ran == [1] and runner.try_all({"b": lambda: 2}) == {"b": 2}
 
 
-def test_stream_lands_once(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "1.json").write_text('{"order_id": "A"}\n{"order_id": "A", "ship_mode": "x"}\n{bad\n')
-    go = lambda: S.land_stream(S.documents_in(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
-    go()
-    (folder / "2.json").write_text('{"order_id": "A"}\n{"order_id": "B"}\n')
-    go()
-    go()
-    read = lambda n: S.landed(spark, f"{tmp_path}/out", n)
-    assert {r["status"]: r["count"] for r in read("status").groupBy("status").count().collect()} == {"processed": 2, "duplicate": 2, "error": 1}
-    assert sorted(r["order_id"] for r in read("orders").collect()) == ["A", "B"] and read("quality_events").count() == 2
-    # a batch without its status is not shown
-    spark.read.parquet(f"{tmp_path}/out/orders/batch=0").write.parquet(f"{tmp_path}/out/orders/batch=77")
-    assert read("orders").count() == 2
-    raw = spark.read.text(str(folder)).select(F.xxhash64("_metadata.file_path", "value").alias("id"), F.col("value").alias("raw_payload"))
-    assert [r["raw_payload"] for r in S.replay(raw, read("status"), statuses=["error"]).collect()] == ["{bad"]
-    assert S.replay(raw, read("status"), read("status").where("order_id = 'B'").select(F.col("raw_id").alias("id"))).count() == 1
-
-
-def test_landing_metrics(spark, tmp_path):
-    import time
-
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "1.json").write_text('{"order_id": "A"}\n{"order_id": "A", "ship_mode": "x"}\n{bad\n')
-    seen = S.LandingMetrics()
-    spark.streams.addListener(seen)
-    S.land_stream(S.documents_in(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
-    until = time.time() + 20
-    while not seen.batches and time.time() < until:
-        time.sleep(0.2)
-    spark.streams.removeListener(seen)
-    assert [(b["batch"], b["records"], b["processed"], b["duplicate"], b["error"]) for b in seen.batches] == [(0, 3, 1, 1, 1)]
-
-
 def test_circuit_breaker(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     calls = [(0, False), (1, False), (2, False), (3, True), (20, True), (40, False), (41, True), (80, True), (81, False)]
