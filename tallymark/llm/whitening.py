@@ -57,8 +57,10 @@ def moments(x: np.ndarray, whole: bool = True) -> Moments:
 
 
 def merge(a: Moments, b: Moments) -> Moments:
-    """Chan's pairwise formula."""
+    """Chan's pairwise formula; where sums are exact, so is the difference of the means before it is rounded."""
     n, delta = a.n + b.n, b.mean - a.mean
+    if a.sums:
+        delta = np.array([(a.n * q - b.n * p) / (a.n * b.n) for p, q in zip(a.sums, b.sums, strict=True)])
     return Moments(n, [p + q for p, q in zip(a.sums, b.sums, strict=True)], a.mean + delta * (b.n / n), a.scatter + b.scatter + np.outer(delta, delta) * (a.n * b.n / n))
 
 
