@@ -21,8 +21,18 @@ def stage_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark deletes the shuffles of a query at its end, not when the driver next collects its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table and read again: a cut of the plan that survives a lost executor."""
-    path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as a table and read again: a cut of the plan that survives a lost executor, and after which the shuffles
+    before it are gone."""
+    spark = df.sparkSession
+    path, before = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
