@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.sources.store import stage_root, stored
 
-__all__ = ["WORD_SQL", "crc_mod", "documents", "lower_ascii", "maybe_in", "only", "sliced", "stage_root", "staged", "words"]
+__all__ = ["PLACE", "WORD_SQL", "crc_mod", "documents", "lower_ascii", "maybe_in", "only", "placed", "sliced", "stage_root", "staged", "words"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -49,6 +50,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)
 
 
+#: The column that ``placed`` adds.
+PLACE = "_place_of_row"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with PLACE, a number that tells rows apart which agree in all columns, so that many of them need not go to one task:
+    by a row's place in its file, whatever the folder and the run's own part of the file's name. Rows that are not read
+    from files which know it are stored first, so a row has one number however often it is computed. Two rows may share a
+    number: nothing but the dealing of rows may depend on it."""
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        df = staged(df, "placed")
+    return df.withColumn(PLACE, F.xxhash64(F.regexp_replace("_metadata.file_name", r"^(part-\d+).*$", "$1"), "_metadata.row_index"))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns, whatever else the table holds."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

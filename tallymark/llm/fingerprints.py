@@ -9,14 +9,14 @@ samples estimates it without bias; its standard error is at most 0.5 / sqrt(samp
 A text is exploded into its distinct terms and aggregated at once by ``min`` over primitive longs (value above, hash of
 (term, t) below), in one generated stage: no array of variates exists, and nothing is shuffled for it.
 
-Neighbours by id: documents are dealt to buckets of consecutive (id, hash of text), whose number follows the rows of the
+Neighbours by id: documents are dealt to buckets of consecutive (id, hash of text, place), whose number follows the rows of the
 table (bounds from a range partitioning of these keys alone), and the first document of a bucket is also put, marked, at
 the end of the one before; so the next document is always in the same bucket, each text is shuffled once, and an id that
 very many texts share is cut like any range. A row finds its bucket by binary search. A bucket is sorted and streamed,
 spilling if need be.
 
 Defined results: null is the empty text; the empty text has the empty fingerprint, alike to itself (1.0) and to
-nothing else (0.0); rows with equal ids follow each other by a hash of the text; a null id comes first; a single document is its own
+nothing else (0.0); rows with equal ids follow each other by a hash of the text, then by their place; a null id comes first; a single document is its own
 next; an empty table gives none; other columns are ignored.
 """
 
@@ -27,9 +27,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import PLACE, placed
+
 SAMPLES = 40
-#: About so many documents make a bucket.
-BUCKET_DOCS = 512
+#: About so many documents make a bucket, up to so many buckets.
+BUCKET_DOCS, BUCKETS = 512, 1 << 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -78,18 +80,25 @@ def fingerprint(signature: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""), F.lit(""))
 
 
-def cuts(keys: DataFrame, buckets: int) -> list[tuple[int, int]]:
-    """The first key of every bucket but the first: so many ranges of about equal numbers of rows. keys: k, h. A row for
+_KEY = "array<struct<k:bigint,h:bigint,s:bigint>>"
+
+
+def cuts(keys: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
+    """The first key of every bucket but the first: so many ranges of about equal numbers of rows. keys: k, h, s. A row for
     each bucket comes to the driver."""
-    ranged = keys.repartitionByRange(buckets, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("low"))
-    return sorted({(r["low"]["k"], r["low"]["h"]) for r in ranged.collect()})[1:]
+    ranged = keys.repartitionByRange(buckets, "k", "h", "s").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h", "s")).alias("low"))
+    return sorted({tuple(r["low"]) for r in ranged.collect()})[1:]
+
+
+def _table(keys: list[tuple[int, int, int]]) -> Column:
+    return F.from_json(F.lit(json.dumps([dict(zip("khs", key, strict=True)) for key in keys])), _KEY)
 
 
-def bucket_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
-    """How many of the bounds (ascending) are at or below the key, a struct of two longs: by binary search."""
+def bucket_of(key: Column, bounds: list[tuple[int, int, int]]) -> Column:
+    """How many of the bounds (ascending) are at or below the key, a struct of three longs: by binary search."""
     if not bounds:
         return F.lit(0)
-    table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in bounds])), "array<struct<k:bigint,h:bigint>>")
+    table = _table(bounds)
     span = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
@@ -103,27 +112,29 @@ def bucket_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    """Buckets of BUCKET_DOCS rows; in large tables, where there are enough of them for any cluster, of up to 40 times as
-    many."""
-    return max(1, min(-(-rows // BUCKET_DOCS), max(4096, -(-rows // (40 * BUCKET_DOCS)))))
+    """A bucket for BUCKET_DOCS rows; BUCKETS at most, whose bounds are a few megabytes of every plan. Beyond that buckets
+    grow: their rows are sorted by Spark, which spills, and pass a window that looks one row ahead."""
+    return max(1, min(-(-rows // BUCKET_DOCS), BUCKETS))
 
 
 def with_next(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, place, doc_id, text, next_text, extra): rows in the order of ids, with the text after each. Rows with
-    ``extra`` repeat the first of the next bucket (of the first, at the very end)."""
-    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    slim = slim.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    ``extra`` repeat the first of the next bucket (of the first, at the very end). Rows that repeat an id are in order of
+    a hash of their text, then of their place, so one row repeated very often is cut into buckets like any range."""
+    df = placed(df.select(f"`{id_column}`", f"`{text}`"))
+    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(PLACE).alias("s"))
+    slim = slim.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("k"), F.xxhash64("text").alias("h"), "s", "doc_id", "text")
+    key = F.struct("k", "h", "s")
     rows = slim.count()
     buckets = buckets_for(rows)
-    bounds = cuts(slim.select("k", "h"), buckets) if buckets > 1 else []
-    low = slim.agg(F.min(F.struct("k", "h")).alias("low")).first()["low"] if rows else None
-    slim = slim.select(bucket_of(F.struct("k", "h"), bounds).alias("bucket"), "k", "h", "doc_id", "text")
+    bounds = cuts(slim.select("k", "h", "s"), buckets) if buckets > 1 else []
+    low = slim.agg(F.min(key).alias("low")).first()["low"] if rows else None
+    slim = slim.select(bucket_of(key, bounds).alias("bucket"), "k", "h", "s", "doc_id", "text")
     # a bound is the key of a row: the rows whose keys are bounds come first in their buckets
-    starts = [(low["k"], low["h"]), *bounds] if rows else []
-    table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in starts])), "array<struct<k:bigint,h:bigint>>")
-    heads = slim.where(F.struct("k", "h") == F.get(table, F.col("bucket"))).groupBy("bucket", "k", "h", "doc_id").agg(F.min("text").alias("text"))
-    ends = heads.select(F.when(F.col("bucket") == 0, F.lit(len(bounds))).otherwise(F.col("bucket") - 1).alias("bucket"), "k", "h", "doc_id", "text", F.lit(True).alias("extra"))
-    order = Window.partitionBy("bucket").orderBy("extra", "k", "h", "text")
+    starts = [tuple(low), *bounds] if rows else []
+    heads = slim.where(F.struct("k", "h", "s") == F.get(_table(starts), F.col("bucket"))).groupBy("bucket", "k", "h", "s", "doc_id").agg(F.min("text").alias("text"))
+    ends = heads.select(F.when(F.col("bucket") == 0, F.lit(len(bounds))).otherwise(F.col("bucket") - 1).alias("bucket"), "k", "h", "s", "doc_id", "text", F.lit(True).alias("extra"))
+    order = Window.partitionBy("bucket").orderBy("extra", "k", "h", "s", "text")
     both = slim.withColumn("extra", F.lit(False)).unionByName(ends)
     return both.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "extra")
 

@@ -50,7 +50,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import crc_mod, lower_ascii, sliced, staged, words
+from tallymark.llm.common import PLACE, crc_mod, lower_ascii, placed, sliced, staged, words
 
 CLASSES = SLOTS = 32
 #: The first half of the leaves: the end and the common words.
@@ -428,9 +428,9 @@ def score(docs: DataFrame, learn: Column, chunk: Column, rounds: int = ROUNDS) -
 
 
 def file_chunk(df: DataFrame, size: int = CHUNK_BYTES) -> Column:
-    """The file a row is read from, in as many parts as its size asks for; where there is no file, by the characters of
+    """Of rows with PLACE: the file a row is read from, in as many parts as its size asks for; where there is no file, by the characters of
     the whole table."""
-    part = F.xxhash64("doc_id", "text")
+    part = F.xxhash64("doc_id", "text", PLACE)  # a row that repeats is in many chunks
     try:
         m = df.select("_metadata.file_path", "_metadata.file_size") and F.col("_metadata")
     except AnalysisException:
@@ -440,6 +440,7 @@ def file_chunk(df: DataFrame, size: int = CHUNK_BYTES) -> Column:
 
 
 def digest(df: DataFrame) -> DataFrame:
+    df = placed(df.select("doc_id", "text"))
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", file_chunk(df).alias("_chunk"))
     out = score(docs, crc_mod("doc_id", 7) != 2, F.col("_chunk"))
     return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -12,7 +12,7 @@
 
 Only size counts ever meet in one task per source (a row for each exact length), and one row for each source in one
 task for the targets; documents never do. Two reruns take the same documents: ranks
-depend on the seed, the id and the text alone.
+depend on the seed, the id and the text, buckets also on the row's place in the stored files, by which repeated rows spread.
 
 Defined results: a null text has size 0; null sources are one source, last in order; documents of size 0 are taken 0
 times; repeated rows are documents of their own; with no words at all every target is 0; an empty table gives none.
@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import WORD_SQL, staged
+from tallymark.llm.common import PLACE, WORD_SQL, placed, staged
 
 #: The dynamic programme runs over at most so many words (its table has a bit for each, per size).
 BUDGET_WORDS = 1 << 16
 #: Documents are dealt by hash to one bucket for so many of them: the number of buckets follows the table's rows, and even
-#: where all are of one source and size a task ranks about so many at a time.
+#: where all are of one source and size, or one row repeated, a task ranks about so many at a time.
 BUCKET_ROWS = 20_000
 
 
@@ -123,10 +123,16 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "source_size": words, "target": target, "copies": copies, "extra": extra})
 
 
+def dealt(df: DataFrame, seed: int, source: str, text: str, id_column: str) -> DataFrame:
+    """df with the key of its source, its size, and its rank and bucket within these."""
+    rank = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`").cast("string"), F.col(f"`{text}`"))
+    slim = placed(df).withColumn("size", word_count(text)).withColumn("key", _source_key(F.col(f"`{source}`"))).withColumn("rank", rank)
+    return slim.withColumn("bucket", F.pmod(F.xxhash64("rank", PLACE), F.lit(1 + df.count() // BUCKET_ROWS)))
+
+
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 17, source: str = "source", text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """df with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes the document (0 to most)."""
-    rank = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`").cast("string"), F.col(f"`{text}`"))
-    slim = df.withColumn("size", word_count(text)).withColumn("key", _source_key(F.col(f"`{source}`"))).withColumn("rank", rank).withColumn("bucket", F.pmod(F.shiftrightunsigned("rank", 20), F.lit(1 + df.count() // BUCKET_ROWS)))
+    slim = dealt(df, seed, source, text, id_column)
     by_bucket = slim.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_bucket = staged(by_bucket, "mix-counts")
     by_size = by_bucket.groupBy("key", "size").agg(F.sum("n").alias("n"))
@@ -134,8 +140,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed
     plan = by_size.join(targets(totals, weights, most), "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, source_size bigint, target double, copies bigint, extra bigint")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = by_bucket.join(plan, ["key", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least("n", F.col("extra") - before))).drop("extra", "n")
-    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("rank", f"`{id_column}`"))
-    out = slim.join(quota, ["key", "size", "bucket"]).withColumn("place", place)
+    nth = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("rank", f"`{id_column}`"))
+    out = slim.join(quota, ["key", "size", "bucket"]).withColumn("place", nth)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + (F.col("place") <= F.col("quota")).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     own = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
     return out.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "copies")

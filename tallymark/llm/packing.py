@@ -2,7 +2,7 @@
 
 Documents are encoded and only those above the sequence length are cut: full pieces, the first one taking the
 remainder. Full pieces are sequences already. The others are items that are packed in rounds: Spark deals the items to
-tasks by hash, each task packs its own best-fit in decreasing order; nearly full bins, and bins that not even the least
+tasks by their place in the stored table (so pieces that are alike spread), each task packs its own best-fit in decreasing order; nearly full bins, and bins that not even the least
 item there is fits into, are final. The underfull bins go, as items of the next round, dealt anew, to as many fewer tasks,
 until one task takes them all (or two rounds on end put together less than 2 % of what several tasks hold). A bin
 carries its members with it, at most as many as it has tokens, so nothing is joined back at the end.
@@ -76,6 +76,11 @@ def best_fit(fills: list[int], length: int) -> list[list[int]]:
     return bins
 
 
+def dealt(items: DataFrame, tasks: int, level: int) -> DataFrame:
+    """The items (members, fill) in so many partitions, by their place: those that are alike spread too."""
+    return items.select("members", "fill", F.xxhash64("place", F.lit(level)).alias("_deal")).repartition(tasks, "_deal").drop("_deal")
+
+
 def _round(items: DataFrame, tasks: int, level: int, length: int, slack: int, least: int, last: bool) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -101,18 +106,17 @@ def _round(items: DataFrame, tasks: int, level: int, length: int, slack: int, le
                 ["members", "fill", "final", "sequence_id"],
             )
 
-    head = F.col("members")[0]
-    dealt = items.select("members", "fill").repartition(tasks, F.xxhash64(head["doc_id"], head["piece"], head["ids_crc32"], F.lit(level)))
-    return staged(dealt.mapInArrow(pack, _BIN), f"packing-{level}")
+    return staged(dealt(items, tasks, level).mapInArrow(pack, _BIN), f"packing-{level}")
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024, slack: int | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset in the sequence."""
     slack = length // 128 if slack is None else slack
-    all_pieces = staged(pieces(df, tokenizer, end_id, length, id_column, text), "packing-pieces")
-    full = all_pieces.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    all_pieces = pieces(df, tokenizer, end_id, length, id_column, text).withColumn("place", F.monotonically_increasing_id())
+    all_pieces = staged(all_pieces, "packing-pieces")
+    full = all_pieces.where(F.col("length") == length).drop("place").select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     own = F.struct(*[F.col(f.name) for f in _PIECE])
-    items = all_pieces.where(F.col("length") < length).select(F.array(own).alias("members"), F.col("length").alias("fill"))
+    items = all_pieces.where(F.col("length") < length).select(F.array(own).alias("members"), F.col("length").alias("fill"), "place")
     of = (F.count(F.lit(1)), F.coalesce(F.sum(F.size("members")), F.lit(0)), F.coalesce(F.min("fill"), F.lit(0)))
     bins, held, least = items.agg(*of).first()  # bins that are not final yet, the pieces in them, the least fill
     level, idle, done = 0, 0, []
@@ -120,7 +124,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024, sla
         tasks = -(-held // ITEMS)
         packed = _round(items, tasks, level, length, slack, least, tasks == 1)
         done.append(packed.where("final"))
-        items = packed.where("not final")
+        items = packed.where("not final").withColumn("place", F.col("sequence_id"))
         level, before = level + 1, bins
         bins, held, least = items.agg(*of).first()
         idle = idle + 1 if bins > 0.98 * before else 0

@@ -10,12 +10,13 @@ A shard holds the documents of one key range in key order. Its parts, in order:
 
 ``Shard.get`` asks the Bloom filter, finds the block by binary search in the index and decodes that block alone.
 
-Spark range-partitions and sorts the documents by id, into as many shards as their characters ask for; each task writes its shard to the shared folder under a name of
+Spark range-partitions and sorts the documents by id, into as many shards as their characters and their number ask for; each task writes its shard to the shared folder under a name of
 its own and renames it when whole, so a task that runs twice leaves no half-written shard under a final name; the
 manifest, stored as a table, names the shards that count.
 
 Defined results: a null text is empty; a null id sorts first, under the empty key; repeated ids keep all their rows, by
-a hash of the text (so an id with very many texts is cut into shards like any range); an empty table gives no shard. Other columns are ignored.
+a hash of the text and then by their place (so an id with very many texts, or one row repeated very often, is cut into
+shards like any range); an empty table gives no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import sliced, stage_root, staged
+from tallymark.llm.common import PLACE, placed, sliced, stage_root, staged
 from tallymark.llm.tokens import batches_of, encoder
 
 MAGIC = b"TMSSTAB1"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index place, length; filter place, length; documents, ids; hashes, checksum; magic
 BLOCK_BYTES = 1 << 18
-#: Characters of text that a shard stands for: shards grow in number, not in size.
-SHARD_CHARS = 64_000_000
+#: Characters of text and documents that a shard stands for: shards grow in number, not in size.
+SHARD_CHARS, SHARD_ROWS = 64_000_000, 500_000
 BITS_A_KEY = 10
 MANIFEST = "shard int, file string, first_key binary, last_key binary, n_docs bigint, n_ids bigint"
 
@@ -246,9 +247,11 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
             row = {"shard": shard, "file": f"{folder}/{name.rsplit('/', 1)[1]}", "first_key": writer.first, "last_key": writer.last, "n_docs": writer.docs, "n_ids": writer.ids}
             yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST_ARROW)
 
-    slim = df.select(F.col(f"`{id_column}`").cast("bigint").alias("k"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("v"))
-    chars = slim.agg(F.coalesce(F.sum(F.char_length("v")), F.lit(0))).first()[0]
-    ranged = slim.repartitionByRange(1 + chars // SHARD_CHARS, "k", "h").sortWithinPartitions("k", "h", "v")
+    slim = placed(df.select(f"`{id_column}`", f"`{text}`"))
+    slim = slim.select(F.col(f"`{id_column}`").cast("bigint").alias("k"), F.xxhash64(f"`{text}`").alias("h"), F.col(PLACE).alias("s"), F.col(f"`{text}`").alias("v"))
+    chars, rows = slim.agg(F.coalesce(F.sum(F.char_length("v")), F.lit(0)), F.count(F.lit(1))).first()
+    count = 1 + max(chars // SHARD_CHARS, rows // SHARD_ROWS)
+    ranged = slim.repartitionByRange(count, "k", "h", "s").sortWithinPartitions("k", "h", "v")
     return staged(ranged.select("k", "v").mapInArrow(shards, MANIFEST), "sstable-manifest")
 
 
