@@ -1,8 +1,8 @@
 """A compressed index of word sequences: Burrows-Wheeler transform, wavelet matrix, backward search.
 
 Suffixes are sorted by their first ``depth`` words only, which is all that matches of at most so many words need. Kept are
-the transform as bits of a wavelet matrix with counts every 64 bits, the words' first ranks, and the lengths (0 to depth)
-that neighbouring suffixes share; neither the text nor its suffix array. All searches are made for many sequences at
+the transform as bits of a wavelet matrix with counts every 64 bits, the words' first ranks, and the ranks at which the
+first words change, for the lengths to which matches are cut; neither the text nor, once compressed, its suffix array. All searches are made for many sequences at
 once, in numpy.
 """
 
@@ -29,96 +29,106 @@ class Bits:
 class WaveletMatrix:
     """rank(symbol, place): how often the symbol occurs before the place."""
 
-    def __init__(self, symbols: np.ndarray) -> None:
-        self.levels, self.shifts = [], list(range(max(1, int(symbols.max(initial=0)).bit_length()) - 1, -1, -1))
+    def __init__(self, symbols: np.ndarray, kinds: int) -> None:
+        self.levels, self.shifts = [], list(range(max(1, (kinds - 1).bit_length()) - 1, -1, -1))
         for s in self.shifts:
             one = (symbols >> s & 1).astype(bool)
             self.levels.append(Bits(one))
             symbols = np.concatenate([symbols[~one], symbols[one]])
+        each = np.arange(kinds)
+        self.starts = np.zeros(kinds, dtype=np.int64)
+        self.starts = self._down(each, self.starts)  # where each symbol's block begins in the last level
 
-    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the symbol's block begins in the last level, and the two places within the last level."""
-        start = np.zeros_like(low)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for s, bits in zip(self.shifts, self.levels, strict=True):
-            one = (symbol >> s & 1).astype(bool)
-            moved = []
-            for at in (start, low, high):
-                r = bits.rank(at)
-                moved.append(np.where(one, bits.zeros + r, at - r))
-            start, low, high = moved
-        return start, low, high
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The places of the text in the order of the ``depth`` words from there on; what is past the end counts as least.
-    Ranks by doubled lengths; a last overlapping step makes up the depth."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    if depth == 1:
-        return np.argsort(rank, kind="stable")
-    done, order = 1, None
-    while done < depth:
+            r = bits.rank(at)
+            at = np.where(symbol >> s & 1, bits.zeros + r, at - r)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self._down(symbol, at) - self.starts[symbol]
+
+
+def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The places of a text of small numbers in the order of the ``depth`` words from there on, what is past the end being
+    least; where the order says something new; and each place's rank by 1, 2, 4, ... words. A last overlapping step makes up
+    the depth."""
+    n, most = len(text), int(text.max(initial=0))
+    rank, done, ranks = text + 1, 1, []
+    order = np.argsort(rank)
+    new = np.r_[True, rank[order][1:] != rank[order][:-1]]
+    while True:
+        ranks.append(rank)
+        if done == depth:
+            return order, new, ranks
         step = min(done, depth - done)
         after = np.zeros(n, dtype=np.int64)
         after[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        first = np.r_[True, key[order][1:] != key[order][:-1]] if n else np.zeros(0, bool)
+        key = rank * (max(most, n) + 2) + after
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(first)
+        rank[order] = np.cumsum(new)
         done += step
-    return order
 
 
 class FMIndex:
-    """Of sequences of word numbers (1 and up), laid one after the other with a 0 after each."""
+    """Of sequences of word numbers (1 and up, without large gaps), laid one after the other with a 0 after each."""
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
         self.depth, self.n = depth, len(text)
-        order = suffix_order(text, depth)
-        self.order = order  # taken away by ``least``: the index itself needs no suffix array
-        self.wavelet = WaveletMatrix(text[order - 1])
-        self.first = np.r_[0, np.cumsum(np.bincount(text))]
-        shared, same = np.zeros(self.n, dtype=np.int8), np.ones(max(0, self.n - 1), dtype=bool)
-        for k in range(depth):
-            at = order + k
-            word = np.where(at < self.n, text[np.minimum(at, self.n - 1)], -1)
-            same &= word[1:] == word[:-1]
-            shared[1:] += same
-        self.shared = shared
-        self._cuts: dict[int, np.ndarray] = {}
-
-    def cuts(self, depth: int) -> np.ndarray:
-        """The ranks at which the first ``depth`` words change, and the end."""
-        if depth not in self._cuts:
-            self._cuts[depth] = np.r_[np.flatnonzero(self.shared < depth), self.n]
-        return self._cuts[depth]
+        order, self.new, self._ranks = suffix_ranks(text, depth)
+        self.order = order
+        counts = np.bincount(text)
+        self.wavelet = WaveletMatrix(text[order - 1], len(counts))
+        self.first = np.r_[0, np.cumsum(counts)]
+        self._cuts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def cuts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks at which the first ``length`` words change, and the end; and each rank's number among these."""
+        if length not in self._cuts:
+            new = self.new if length == self.depth else self._changes(length)
+            self._cuts[length] = np.r_[np.flatnonzero(new), self.n], np.cumsum(new, dtype=np.int32) - 1
+        return self._cuts[length]
+
+    def _changes(self, length: int) -> np.ndarray:
+        """By two overlapping ranks of a power of two of words."""
+        power = length.bit_length() - 1
+        rank, shift = self._ranks[power], length - (1 << power)
+        later = np.r_[rank, np.zeros(shift, dtype=np.int64)][self.order + shift]
+        rank = rank[self.order]
+        return np.r_[True, (rank[1:] != rank[:-1]) | (later[1:] != later[:-1])]
 
     def group(self, rank: np.ndarray) -> np.ndarray:
         """The number of the group of suffixes that agree in ``depth`` words."""
-        return np.searchsorted(self.cuts(self.depth), rank, side="right") - 1
+        return self.cuts(self.depth)[1][rank]
 
     def least(self, values: np.ndarray) -> np.ndarray:
         """For each group, the least of the values that the places of the text have."""
-        out = np.minimum.reduceat(values[self.order], self.cuts(self.depth)[:-1])
-        del self.order
-        return out
+        return np.minimum.reduceat(values[self.order], self.cuts(self.depth)[0][:-1])
+
+    def compress(self, *lengths: int) -> None:
+        """Leaves the suffix array and the ranks of its making; matches can then be cut to these lengths only."""
+        for k in lengths:
+            self.cuts(k)
+        del self.order, self._ranks
 
     def widen(self, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The interval of the first ``length`` words at the ranks ``low``: the match loses words at its right end."""
         if length == 0:
             return np.zeros_like(low), np.full_like(low, self.n)
-        cuts = self.cuts(length)
-        at = np.searchsorted(cuts, low, side="right")
-        return cuts[at - 1], cuts[at]
+        cuts, number = self.cuts(length)
+        at = number[low]
+        return cuts[at], cuts[at + 1]
 
     def step(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval with the word before it."""
         known = word < len(self.first) - 1
         w = np.where(known, word, 0)
-        start, lo, hi = self.wavelet.rank(w, low, high)
         base = self.first[w]
-        return base + lo - start, np.where(known, base + hi - start, base + lo - start)
+        lo, hi = base + self.wavelet.rank(w, low), base + self.wavelet.rank(w, high)
+        return lo, np.where(known, hi, lo)
 
     def matching_statistics(self, streams: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every place of every stream: how many words from there on (at most ``depth``) occur in the text, and the

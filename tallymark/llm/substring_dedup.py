@@ -3,8 +3,8 @@
 A window is ``window`` consecutive words of one document. Every word that a window covers goes if the window's words also
 start somewhere in a document with a smaller id.
 
-1. Anchors: of the ``gram``-word sequences in a window the one of most characters (in steps of four; then the least hash;
-   then the leftmost) is its anchor. Equal windows have equal anchors, so only documents that share one can share a window.
+1. Anchors: of the ``gram``-word sequences in a window one is its anchor: by the least hash, the leftmost of equal ones,
+   and any other before those of very short words, which are the common ones. Equal windows have equal anchors, so only documents that share one can share a window.
    One aggregate finds the anchors that two documents have, one join brings these to their documents.
 2. Pieces: a document's windows with such anchors are cut into runs around the same anchor, with their words as text. Equal
    pieces of a task become one row with its places. Rows are dealt by anchor.
@@ -26,10 +26,7 @@ An empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +49,37 @@ MARKED, WAITING, VERDICT, AGAIN = range(4)
 _NEVER = np.iinfo(np.int64).max
 
 
+def spelled(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words joined by blanks; where each word starts and ends."""
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    blanks = np.flatnonzero(raw == 32)
+    return raw, np.r_[0, blanks + 1], np.r_[blanks, len(raw)]
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
 class Words:
-    """Some documents' words, one after the other: their numbers, and each document's part."""
+    """Some documents' words, one after the other: where they start and end, and each document's part. A word's hash is of its
+    length and first 16 bytes: it serves to choose anchors, words are compared as text."""
 
     def __init__(self, texts: Iterable[str | None]) -> None:
-        numbers, parts, codes, self.ends = defaultdict(count().__next__), [], [], [0]
-        for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            codes += map(numbers.__getitem__, words)
-            parts += words[:0] or ([b" ".join(words)] if words else [])
-            self.ends.append(len(codes))
-        self.codes, self.ends = np.array(codes, dtype=np.int64), np.array(self.ends)
-        self.lengths = np.array([len(w) for w in numbers], dtype=np.int64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
-        self.text = b" ".join(parts)  # a word's place in it is the sum of the lengths before, with a blank each
-        self.places = np.r_[0, np.cumsum(self.lengths[self.codes] + 1)]
+        parts = [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]
+        self.ends = np.r_[0, np.cumsum([p.count(b" ") + 1 if p else 0 for p in parts], dtype=np.int64)]
+        self.text = b" ".join(p for p in parts if p)
+        raw, start, end = spelled(self.text)
+        if not len(raw):
+            start = end = np.zeros(0, dtype=np.int64)
+        self.lengths, self.places = end - start, np.r_[start, len(raw) + 1]
+        eight = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(24, dtype=np.uint8)], 8)
+        part = lambda at, n: np.ascontiguousarray(eight[at]).view("<u8")[:, 0] & _MASKS[np.clip(n, 0, 8)]
+        second = np.where(self.lengths > 8, start + 8, start)
+        self.hashes = _mix(_mix(part(start, self.lengths) + self.lengths.astype(np.uint64)) + part(second, self.lengths - 8))
 
     def piece(self, first: int, end: int) -> bytes:
         return self.text[self.places[first] : self.places[end] - 1]
@@ -75,16 +88,14 @@ class Words:
 def anchored(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: document, first window's start, last window's start, anchor."""
     none = np.zeros(0, dtype=np.int64)
-    if len(w.codes) < window:
+    if len(w.hashes) < window:
         return none, none, none, none
-    n, span = len(w.codes), window - gram + 1
-    h, chars = w.hashes[w.codes], w.lengths[w.codes]
+    n, span, h, chars = len(w.hashes), window - gram + 1, w.hashes, w.lengths
     mixed, total = np.zeros(n - gram + 1, dtype=np.uint64), np.zeros(n - gram + 1, dtype=np.int64)
     for k in range(gram):
-        mixed = (mixed + h[k : n - gram + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
+        mixed = _mix(mixed + h[k : n - gram + 1 + k])
         total += chars[k : n - gram + 1 + k]
-    key = ((15 - np.minimum(total >> 2, 15)).astype(np.uint64) << np.uint64(60)) | (mixed >> np.uint64(4))
+    key = ((total < 3 * gram + 3).astype(np.uint64) << np.uint64(63)) | (mixed >> np.uint64(1))
     at = np.arange(n - window + 1)
     best = np.lib.stride_tricks.sliding_window_view(key, span).argmin(axis=1) + at
     doc = np.repeat(np.arange(len(w.ends) - 1), np.diff(w.ends))[: len(at)]
@@ -207,18 +218,20 @@ class Shard:
 
     def verdicts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """For each piece (aligned at the right) and window the least id of all pieces that hold it; pieces' lengths."""
-        numbers = defaultdict(count(1).__next__)
-        split = [p.split(b" ") for p in self.pieces]
-        lengths = np.array([len(s) for s in split])
-        codes = np.fromiter((numbers[x] for s in split for x in s), dtype=np.int64, count=int(lengths.sum()))
-        width, rows = int(lengths.max()), np.repeat(np.arange(len(split)), lengths)
+        raw, start, end = spelled(b" ".join(self.pieces))
+        lengths = np.array([p.count(b" ") + 1 for p in self.pieces])
+        ends = pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(raw[raw != 32].tobytes())])
+        codes = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        width, rows = int(lengths.max()), np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        text = np.zeros(len(codes) + len(split), dtype=np.int64)
+        text = np.zeros(len(codes) + len(lengths), dtype=np.int64)
         text[np.arange(len(codes)) + rows] = codes
-        streams = np.zeros((len(split), width), dtype=np.int64)
+        streams = np.zeros((len(lengths), width), dtype=np.int64)
         streams[rows, place + (width - lengths)[rows]] = codes
         index = FMIndex(text, window)
         least = index.least(np.repeat(np.array([v[0] for v in self.pieces.values()]), lengths + 1))
+        index.compress(window - 1, window)
         found, ranks = index.matching_statistics(streams, lengths)
         return np.where(found >= window, least[index.group(ranks)], _NEVER), lengths
 
@@ -305,12 +318,6 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield marked(places, np.zeros(len(places), dtype=np.int64), np.array([mins]), np.array([len(mins)])).select(["doc", "text", "start", "marks"])
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffles of steps whose results are stored."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _cut(window: int):
     """(doc, text, marked places) to the words that stay."""
 
@@ -353,18 +360,15 @@ def _moved(window: int):
 
 def marks(df: DataFrame, window: int, gram: int, shard: int, most_places: int) -> DataFrame:
     """(doc, text, start, marks): what is to go, of rows (doc, text, key) without null ids."""
-    spark = df.sparkSession
     anchors = staged(df.select("doc", "text").mapInArrow(_anchors(window, gram), "anchor bigint, doc bigint"), "substring-anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
-    of_doc = staged(anchors.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "substring-shared")
-    _release(spark)
+    shared = staged(shared, "substring-shared")  # a row an anchor: as a stored table, so that Spark can split a common anchor's rows
+    of_doc = staged(anchors.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "substring-shared-of-doc")
     rows = df.join(of_doc, "doc").select("doc", "text", "key", "anchors").mapInArrow(_pieces(window, gram, most_places), _PIECE_SQL)
 
     def search(rows: DataFrame, last: bool) -> DataFrame:
         dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-        out = staged(dealt.mapInArrow(_shards(window, last, shard), _FOUND_SQL), "substring-found")
-        _release(spark)
-        return out
+        return staged(dealt.mapInArrow(_shards(window, last, shard), _FOUND_SQL), "substring-found")
 
     def of_kind(found: DataFrame, kind: int, *columns: str) -> DataFrame:
         return found.where(F.col("kind") == kind).select(*columns)
