@@ -7,20 +7,26 @@ and leaves a query as double.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tallymark import contracts as C
 from tallymark.functions import text as X
+from tallymark.operators import distributions as D
 from tallymark.operators import events as E
-from tallymark.operators import ingest, rules, staging
+from tallymark.operators import ingest, retries, rules, staging
 from tallymark.plans import checks as K
 from tallymark.plans import gold as G
 from tallymark.plans import reevaluation as V
 from tallymark.plans import reports as R
-from tallymark.sources import generator
+from tallymark.sources import contract, generator
+from tallymark.sources.days_source import DayTables
+from tallymark.sources.manifest import Manifest
 from tallymark.sources.store import stage_root, stored
 from tallymark.streaming import orders as S
 
@@ -468,20 +474,97 @@ def gold_from_generated(spark, d):
     return money(rolled.groupBy("effective_quality_state").agg(F.count(F.lit(1)).alias("orders"), F.sum("item_count").alias("items"), F.sum("gross_amount").alias("gross_amount"), F.sum("net_amount").alias("net_amount")), "gross_amount", "net_amount")
 
 
-@query("""SELECT 'processed' AS status, count(*) AS records, count(*) FILTER (raw_id % 7 = 0 OR raw_id % 23 = 0) AS dirty FROM ord UNION ALL SELECT 'duplicate', count(*) FILTER (raw_id % 5 = 0), 0 FROM ord UNION ALL SELECT 'error', count(*) FILTER (raw_id % 11 = 0), 0 FROM ord""")
+@query("""SELECT 'processed' AS status, count(*) AS records, count(*) FILTER (raw_id % 7 = 0 OR raw_id % 23 = 0) AS dirty FROM ord UNION ALL SELECT 'duplicate', count(*) FILTER (raw_id % 5 = 0) + count(*) FILTER (raw_id % 9 = 0), 0 FROM ord
+  UNION ALL SELECT 'error', count(*) FILTER (raw_id % 11 = 0) + count(*) FILTER (raw_id % 33 = 0), 0 FROM ord""")
 def stream_ingest(spark, d):
-    """All orders as documents landed by a stream in several batches, a fifth of them twice, some broken: statuses."""
+    """All orders as documents landed by a stream in several batches, a ninth of them as two equal lines of one file, a fifth
+    of them again later, some broken, a third of these as two equal lines: statuses, all tables as of one version."""
     root = f"{stage_root(spark)}/stream-{dt.datetime.now().timestamp():.6f}"
     docs = order_documents(spark, d).select("id", "raw_payload")
+    twice = lambda df, n: df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(F.col("id") % n == 0, 2).otherwise(1)))).drop("_n")
     again = docs.where("id % 5 = 0").withColumn("raw_payload", F.regexp_replace("raw_payload", "^.", '{"ship_mode":"again",'))
     broken = docs.where("id % 11 = 0").withColumn("raw_payload", F.concat(F.lit("{"), F.substring("raw_payload", 1, 40)))
-    for n, part in enumerate((docs, again.unionByName(broken))):
+    for part in (twice(docs, 9), again.unionByName(twice(broken, 33))):
         part.select(F.col("raw_payload").alias("value")).write.mode("append").text(f"{root}/in")
         S.land_stream(S.documents_in(spark, f"{root}/in", maxFilesPerTrigger="100"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    status, ods = S.landed(spark, f"{root}/out", "status"), S.landed(spark, f"{root}/out", "orders").select("raw_id", "has_clean_error")
+    at = Manifest(spark, f"{root}/out").version()
+    status, ods = S.landed(spark, f"{root}/out", "status", at), S.landed(spark, f"{root}/out", "orders", at).select("raw_id", "has_clean_error")
     return status.join(ods, "raw_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_clean_error").alias("dirty"))
 
 
+@query("""SELECT CAST(v AS BIGINT) AS version, (SELECT count(*) FROM events WHERE event_id % 4 <= v) AS events, (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 4 = v) AS users, CASE WHEN v = 3 THEN 2 ELSE 1 END AS attempts FROM (SELECT unnest(range(0, 4)) AS v)""")
+def joint_commits(spark, d):
+    """All events in four commits of two tables, each with the users of its own events in place of those before; at the third
+    another writer commits first, so that one is made anew. Both tables as of each version."""
+    m, e = Manifest(spark, f"{stage_root(spark)}/joint-{dt.datetime.now().timestamp():.6f}"), table(spark, d, "events")
+
+    def part(n: int, v) -> dict:
+        some = e.where(F.col("event_id") % 4 == n)
+        return {"add": {"events": m.write("events", some), "users": m.write("users", some.select("user_id").distinct())}, "remove": {"users": v.folders.get("users", [])}, "batch": n}
+
+    raced = []
+
+    def work(v) -> dict:
+        n = v.number + 1
+        if n == 2 and not raced:
+            raced.append(m.transact(lambda v: part(n, v) | {"writer": "other"}))
+        return part(n, v) | {"writer": "one"}
+
+    while m.version().number < 3:
+        m.transact(work, wait=0.05)
+    seen = [(m.table("events", m.version(h["version"])), m.table("users", m.version(h["version"])), h) for h in m.history()]
+    one = lambda ev, us, h: ev.agg(F.count(F.lit(1)).alias("events")).crossJoin(us.agg(F.count(F.lit(1)).alias("users"))).select(F.lit(h["version"]).cast("bigint").alias("version"), "events", "users", F.lit(h["attempts"]).alias("attempts"))  # noqa: E731  # one row each
+    return reduce(DataFrame.unionByName, [one(*x) for x in seen])
+
+
+@query("""SELECT CASE WHEN raw_id % 10 = 0 THEN 'dead' WHEN a <= fails THEN CASE WHEN a = 3 THEN 'dead' ELSE 'retry' END ELSE 'done' END AS outcome, CASE WHEN raw_id % 10 = 0 THEN 'DataError' WHEN a <= fails THEN 'OperationalError' END AS error_class, CAST(a AS INTEGER) AS attempt, count(*) AS records
+  FROM (SELECT raw_id, unnest([1, 2, 3]) AS a, CASE WHEN raw_id % 10 = 0 THEN 0 WHEN raw_id % 4 = 1 THEN raw_id % 5 ELSE 0 END AS fails FROM ord) WHERE a = 1 OR a <= fails + 1 GROUP BY 1, 2, 3""")
+def dead_letters(spark, d):
+    """All orders worked on, some of which fail for good, some for so many attempts: how each attempt ended, by class."""
+    m, k = Manifest(spark, f"{stage_root(spark)}/work-{dt.datetime.now().timestamp():.6f}"), F.col("raw_id")
+
+    def work(df: DataFrame) -> DataFrame:
+        passing = (k % 4 == 1) & (F.col("attempt") <= k % 5)
+        return df.withColumn("failure", F.coalesce(retries.failed(k % 10 == 0, "DataError", "does not fit", False), retries.failed(passing, "OperationalError", "gone away", True)))
+
+    now = dt.datetime(2024, 1, 28)
+    retries.run_once(m, orders(spark, d).select("raw_id", "order_id"), work, F.lit(now), "raw_id", batch=0)
+    while (due := retries.next_due(m)) is not None:
+        retries.run_once(m, None, work, F.lit(due), "raw_id")
+    return retries.attempts_by_class(m)
+
+
+@query("""SELECT day, offered, landed, CASE WHEN offered IS NULL OR landed IS NULL THEN 'unknown' WHEN landed > offered THEN 'over' WHEN landed < offered * 0.8 THEN 'short' ELSE 'pass' END AS verdict FROM (SELECT CAST(ts AS DATE) AS day,
+  CASE WHEN day(ts) <> 5 THEN count(*) END AS offered, CASE WHEN day(ts) <> 7 THEN CAST(count(*) FILTER (day(ts) % 3 <> 0 OR event_type <> 'error') + CASE WHEN day(ts) = 8 THEN count(*) ELSE 0 END AS BIGINT) END AS landed FROM events GROUP BY CAST(ts AS DATE), day(ts))""")
+def landing_by_day(spark, d):
+    """Offered and landed events of each day: on some days one type is lost, on one everything lands twice, of some a number is not known."""
+    day = F.dayofmonth("ts")
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    count = lambda df: df.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    landed = e.where((day % 3 != 0) | (F.col("event_type") != "error"))
+    landed = landed.unionByName(e.where(day == 8))
+    return staging.landing_gate(count(e.where(day != 5)), count(landed.where(day != 7)), "day", 0.8)
+
+
+@query("""SELECT event_type, le, total, n FROM (SELECT event_type, le, count(*) FILTER (value > coalesce(low, -1e300) AND value <= coalesce(le, 1e300)) AS n, count(value) AS total
+  FROM events, (SELECT le, lag(le) OVER (ORDER BY le NULLS LAST) AS low FROM (SELECT CAST(unnest([1, 5, 10, 50, 100, 500, NULL]) AS DOUBLE) AS le)) GROUP BY event_type, le, low)""")
+def value_histogram(spark, d):
+    """Values by type in fixed buckets: histograms of days, added up."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    days = D.histogram(e, ["event_type", "day"], "value", (1, 5, 10, 50, 100, 500))
+    return D.merged_histograms(days, ["event_type"])
+
+
+@query("SELECT event_type, count(value) AS n, TRUE AS p50_holds, TRUE AS p95_holds, TRUE AS p99_holds FROM events GROUP BY 1")
+def value_sketches(spark, d):
+    """Quantiles by type from sketches of days, merged; each is within two hundredths of its rank among all values."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    at = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = D.quantiles(D.merged_sketches(D.sketches(e, ["event_type", "day"], "value"), ["event_type"]), **at)
+    near = lambda n, p: ((F.count_if(F.col("value") < F.col(n)) / F.count("value") <= p + 0.02) & (F.count_if(F.col("value") <= F.col(n)) / F.count("value") >= p - 0.02)).alias(f"{n}_holds")
+    return e.join(F.broadcast(found), "event_type").groupBy("event_type", "n").agg(*[near(n, p) for n, p in at.items()])  # a row a type
+
+
 @query("""SELECT raw_id, order_id, CASE WHEN raw_id % 7 = 0 THEN 're_quarantination' ELSE 're_evaluation' END AS event_type, CASE WHEN raw_id % 3 = 0 THEN 'promoted' ELSE 'quarantined' END AS from_state,
   CASE WHEN raw_id % 7 = 0 THEN 're_quarantined' ELSE 'promoted' END AS to_state, CASE WHEN raw_id % 7 = 0 THEN 'tax_pct_out_of_range' END AS reason
   FROM ord WHERE (raw_id % 7 = 0 AND raw_id % 3 = 0) OR (raw_id % 7 <> 0 AND raw_id % 23 = 0 AND raw_id % 3 <> 0)""")
@@ -541,3 +624,44 @@ def incremental_days(spark, d):
     staging.overwrite_days(e, path, "ts", ["user_id"])
     staging.overwrite_days(e.where(staging.lookback(F.col("ts"), F.lit(AS_OF.isoformat(" ")).cast("timestamp_ntz"))), path, "ts", ["user_id"])
     return staging.read_days(spark, path, dt.date(2000, 1, 1), dt.date(2100, 1, 1)).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2")
+def fused_days(spark, d):
+    """All events stored by day, a week of them read through the source that refuses to read without days."""
+    path = _new(spark, "fused")
+    staging.overwrite_days(table(spark, d, "events").select("event_id", "ts", "event_type"), path, "ts", ["event_id"])
+    spark.dataSource.register(DayTables)
+    push, before = "spark.sql.python.filterPushdown.enabled", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    spark.conf.set(push, "true")
+    try:
+        week = spark.read.format(DayTables.name()).schema("event_id bigint, ts timestamp_ntz, event_type string, day date").load(path).where("day >= date'2024-01-05' and day < date'2024-01-12'")
+        return stored(week.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")), "fused-days")
+    finally:
+        spark.conf.set(push, before)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN value END) AS with_value, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def contract_days(spark, d):
+    """Events stored by a declared schema; half-way a column is added: old and new days are one table."""
+    path, e = _new(spark, "declared"), table(spark, d, "events")
+    for columns, some in ((["event_id", "user_id", "ts"], e.where("ts < '2024-01-15'")), (["event_id", "user_id", "ts", "value"], e.where("ts >= '2024-01-15'"))):
+        contract.declare(spark, path, e.select(*columns).schema)
+        staging.append_days(contract.conform(some.select(*columns), contract.declared(spark, path)), path, "ts", ["user_id"])
+    whole = StructType([*contract.declared(spark, path), StructField("day", DateType())])
+    days = staging.read_days(spark, path, dt.date(2000, 1, 1), dt.date(2100, 1, 1), schema=whole)
+    return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("with_value"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS customer, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey IN (7, 77, 777, 12345) OR o_custkey IN (11, 13)")
+def stored_lookup(spark, d):
+    """Orders stored by day, clustered by their id, with Bloom filters of their customers: looked up by either."""
+    path = _new(spark, "lookup")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("at"))
+    staging.overwrite_all(o, path, "at", ["id"], look_up={"customer": 10_000})
+    t = spark.read.parquet(path)
+    return staging.lookup(t, "id", 7, 77, 777, 12345).union(staging.lookup(t, "customer", 11, 13)).distinct().select("id", "customer", F.to_date("at").alias("day"))

@@ -69,3 +69,6 @@ LOOKBACK_DAYS = 3
 FINDING = "struct<code:string,field:string,value:string,index:int,order_date:string,length:int,max:int>"
 DRIFT = "struct<code:string,field:string,expected:string,actual:string>"
 QUALITY_EVENT = f"id bigint, raw_id bigint, order_id string, event_type string, from_state string, to_state string, rule_version string, event_at timestamp, reason array<{FINDING}>"
+
+#: Bytes of rows, as held in memory, that make a file of a stored table.
+FILE_BYTES = 256_000_000

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,7 +53,8 @@ def watermark(spark: SparkSession, path: str, day: str = "day") -> dt.date | Non
 
 
 def lookup(df: DataFrame, key: str, *values: object) -> DataFrame:
-    """The rows of a few keys: pushed to the scan, which skips row groups by their bounds where the table is sorted by key."""
+    """The rows of a few keys: pushed to the scan, which skips row groups by their bounds where the table is sorted by key, and by
+    Bloom filters where it was written with ``look_up``."""
     return df.where(F.col(key).isin(*values))
 
 
@@ -60,24 +63,75 @@ def since(df: DataFrame, at: str, mark: dt.date | None) -> DataFrame:
     return df if mark is None else df.where(F.col(at) >= F.lit(mark).cast("timestamp_ntz"))
 
 
-def append_days(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day") -> None:
-    _by_day(df, at, cluster, day).write.mode("append").partitionBy(day).parquet(path)
+def append_days(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day", **files) -> None:
+    _writer(df, at, cluster, day, **files).mode("append").parquet(path)
 
 
-def overwrite_days(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day") -> None:
+def overwrite_days(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day", **files) -> None:
     """Replaces the days that df holds and no others."""
-    _by_day(df, at, cluster, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    _writer(df, at, cluster, day, **files).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def overwrite_all(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day") -> None:
-    _by_day(df, at, cluster, day).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(day).parquet(path)
+def overwrite_all(df: DataFrame, path: str, at: str, cluster: list[str], day: str = "day", **files) -> None:
+    _writer(df, at, cluster, day, **files).mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def _by_day(df: DataFrame, at: str, cluster: list[str], day: str) -> DataFrame:
-    """Few files a day (a large day may have several: a hash of the first cluster key spreads it), each sorted by the
-    cluster keys so that row groups can be skipped by their bounds."""
-    df = df.withColumn(day, F.to_date(at))
-    return df.repartition(day, F.pmod(F.xxhash64(*cluster[:1]), F.lit(8))).sortWithinPartitions(day, *cluster)
+def _writer(df: DataFrame, at: str, cluster: list[str], day: str, file_bytes: int = C.FILE_BYTES, look_up: dict[str, int] | None = None) -> DataFrameWriter:
+    """Files of about ``file_bytes`` (as held in memory), each with a range of the first cluster key and sorted by all of them,
+    so that files and row groups can be skipped by their bounds. Columns in ``look_up`` get Bloom filters for so many different
+    values a file, by which row groups are skipped where a key is not one of the cluster's."""
+    w = clustered(df.withColumn(day, F.to_date(at)), day, cluster, file_bytes).write.partitionBy(day)
+    for column, values in (look_up or {}).items():
+        w = w.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(values))
+    return w
+
+
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values are."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    fixed = sum(_WIDTH.get(t, 8) for _, t in df.dtypes if t not in ("string", "binary"))
+    nested = [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 64 for c, t in df.dtypes if t.startswith(("array", "map"))]
+    return reduce(Column.__add__, [*wide, *nested], F.lit(fixed)).cast("bigint")
+
+
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column: of texts by their first seven bytes."""
+    kind, c = dict(df.dtypes)[column], F.col(f"`{column}`")
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    if kind.startswith("timestamp") or kind == "date":
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+#: Bounds that a day's sketch is asked for; with more files than that several share a range.
+GRID = 1000
+
+
+def clustered(df: DataFrame, day: str, cluster: list[str], file_bytes: int) -> DataFrame:
+    """df in a partition a file to write: each day in as many as its own bytes ask for, by ranges of the first cluster key
+    whose bounds are quantiles of the day (a sketch); rows of a key that fills several files are spread over these, by its
+    share of each. The driver sees a row a day, tasks a bound a file."""
+    rows = df.withColumn("_key", F.coalesce(_ordinal(df, cluster[0]), F.lit(float("-inf"))))
+    parts = F.greatest(F.lit(1), F.ceil(F.sum(row_bytes(df)) / file_bytes)).cast("int")
+    days = rows.groupBy(day).agg(parts.alias("n"), F.kll_sketch_agg_double("_key", 8000).alias("_sketch"))
+    grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    days = days.select(day, "n", F.kll_sketch_get_quantile_double("_sketch", grid).alias("_grid")).orderBy(day).collect()  # a row a day
+    spark, first, found = df.sparkSession, 0, []
+    for d in days:
+        grid, n = d["_grid"], d["n"]
+        frequent = {k: (grid.index(k) * n / GRID, (GRID - 1 - grid[::-1].index(k)) * n / GRID) for k, times in Counter(grid).items() if times > 1}
+        found.append((d[day], first, n, [grid[max(0, round(i * GRID / n) - 1)] for i in range(1, n)], [(k, *ends) for k, ends in frequent.items()]))
+        first += n
+    table = spark.createDataFrame(found, f"_day {dict(df.dtypes)[day]}, _first int, _n int, _bounds array<double>, _frequent array<struct<k:double,low:double,high:double>>")
+    own, draw = F.get(F.filter("_frequent", lambda f: f["k"] == F.col("_key")), F.lit(0)), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
+    within = F.least(F.floor(own["low"] + draw * (own["high"] - own["low"])), F.col("_n") - 1)
+    nth = F.when(own.isNull(), F.size(F.filter("_bounds", lambda b: b < F.col("_key")))).otherwise(within)
+    placed = rows.join(F.broadcast(table), F.col(f"`{day}`").eqNullSafe(F.col("_day"))).withColumn("_file", (F.col("_first") + nth).cast("int"))
+    return placed.repartitionById(max(1, first), F.col("_file")).sortWithinPartitions(day, *cluster).select(*df.columns)
 
 
 def expire_days(spark: SparkSession, path: str, before: dt.date, day: str = "day") -> list[dt.date]:
@@ -97,6 +151,16 @@ def reconcile(left: DataFrame, right: DataFrame, at: str, key: str) -> DataFrame
     return a.join(b, "day", "full").where(~F.col("left_keys").eqNullSafe(F.col("right_rows")))
 
 
+def landing_gate(offered: DataFrame, landed: DataFrame, key: str = "batch", least: float = 1.0) -> DataFrame:
+    """(key, offered, landed, verdict) of what was offered and what landed: counts a batch, of both sides. Short: less than the
+    share ``least`` landed; over: more than was offered; unknown: one of the two numbers is not known. All else passes."""
+    a, b = (df.groupBy(key).agg(F.sum("n").alias(name)) for df, name in ((offered, "offered"), (landed, "landed")))
+    both = a.withColumnRenamed(key, "_a").join(b.withColumnRenamed(key, "_b"), F.col("_a").eqNullSafe(F.col("_b")), "full")
+    n, m = F.col("offered"), F.col("landed")
+    verdict = F.when(n.isNull() | m.isNull(), "unknown").when(m > n, "over").when(m < n * least, "short").otherwise("pass")
+    return both.select(F.coalesce("_a", "_b").alias(key), "offered", "landed", verdict.alias("verdict"))
+
+
 def freshness(df: DataFrame, at: str, as_of: Column, warn_hours: int = 26, error_hours: int = 50, days: int = 30) -> DataFrame:
     """One row: the last instant of the window, its age in hours, pass, warn or error."""
     age = (F.unix_seconds(as_of) - F.unix_seconds(F.max(F.col(at).cast("timestamp")))) / 3600

@@ -76,10 +76,17 @@ def rollup_matches(orders: DataFrame, rollup: DataFrame, key: str, counters: Ite
 
 
 def attributes_stable(items: DataFrame, key: str, attributes: Iterable[str]) -> DataFrame:
-    """Keys with more than one value of an attribute."""
+    """Keys with more than one value of an attribute, and how many of each. Least and greatest value say which keys these
+    are, in one aggregate that is merged in tasks; distinct values are counted for these keys alone, an attribute at a time."""
     names = list(attributes)
-    df = items.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.countDistinct(a).alias(a) for a in names])
-    return df.where(F.greatest(*[F.col(a) for a in names], F.lit(0)) > 1)
+    named = items.where(F.col(key).isNotNull())
+    ends = named.groupBy(key).agg(*[f(a).alias(f"{n}_{i}") for i, a in enumerate(names) for n, f in (("least", F.min), ("most", F.max))])
+    differ = [F.coalesce(F.col(f"least_{i}") < F.col(f"most_{i}"), F.lit(False)) for i in range(len(names))]
+    out = ends.where(F.array_contains(F.array(*differ), True)).select(key, *[d.alias(a) for d, a in zip(differ, names, strict=True)], *[F.col(f"most_{i}").isNotNull().cast("bigint").alias(f"_one_{i}") for i in range(len(names))])
+    for i, a in enumerate(names):
+        many = named.join(out.where(F.col(a)).select(key), key, "left_semi").select(key, F.col(a).alias("_value")).where("_value is not null").distinct()
+        out = out.join(many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "left").withColumn(a, F.coalesce("_n", f"_one_{i}")).drop("_n", f"_one_{i}")
+    return out.select(key, *names)
 
 
 def no_item_loss(report: DataFrame, items: DataFrame, day: str = "order_date") -> DataFrame:

@@ -212,11 +212,22 @@ def build(spark: SparkSession, name: str, model: Callable[[Tables], DataFrame],
     return out.drop(day) if day != at else out
 
 
-def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None, days: Days | None = None) -> tuple[Tables, dict[str, str]]:
+def require_landed(offered: DataFrame, landed: DataFrame, key: str = "batch", least: float = 1.0) -> None:
+    """Raises CheckFailed unless every batch landed: one of which a number is not known has not."""
+    bad = staging_days.landing_gate(offered, landed, key, least).where("verdict <> 'pass'")
+    if some := bad.orderBy(key).limit(20).collect():
+        said = "; ".join(f"{r[key]}: {r['verdict']}, {r['landed']} of {r['offered']}" for r in some)
+        raise CheckFailed(f"landing: {said}{' ...' * (len(some) == 20)}")
+
+
+def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None, days: Days | None = None, gate: Callable[[], None] | None = None) -> tuple[Tables, dict[str, str]]:
     """Builds every layer under ``root`` and tests it before the next. Returns the tables and each test's outcome;
     raises CheckFailed after all of a layer's tests ran, if one of severity error found rows. With ``days`` the
-    incremental tables replace these days only; a run over late rows then equals a full one."""
+    incremental tables replace these days only; a run over late rows then equals a full one. A ``gate`` (``require_landed``)
+    is asked before anything is built."""
     tables, outcome = dict(tables), {}
+    if gate is not None:
+        gate()
     for layer in plan or layers():
         for name, model in layer.models.items():
             tables[name] = build(spark, name, model, tables, f"{root}/{name}", days)
