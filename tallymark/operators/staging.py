@@ -180,8 +180,12 @@ def queue_health(raw: DataFrame, as_of: Column, threshold: int | None = None) ->
     return raw.where("status = 'pending'").agg(F.count(F.lit(1)).alias("pending"), F.count_if(age > limit).alias("stuck"), F.max(age).alias("oldest_seconds"))
 
 
-def recoverable(raw: DataFrame, as_of: Column, after_id: int = 0, page: int = 5000, grace: int = 60, stale: int = 600) -> DataFrame:
-    """A page of records to work on again: pending past the grace, or in work for too long; by id."""
+def waiting(raw: DataFrame, as_of: Column, grace: int = 60, stale: int = 600) -> DataFrame:
+    """Records to work on again: pending past the grace, or in work for too long."""
     old = lambda c, s: F.unix_seconds(as_of) - F.unix_seconds(F.col(c).cast("timestamp")) > s
-    todo = ((F.col("status") == "pending") & old("received_at", grace)) | ((F.col("status") == "processing") & old("processing_started_at", stale))
-    return raw.where(todo & (F.col("id") > after_id)).orderBy("id").limit(page)
+    return raw.where(((F.col("status") == "pending") & old("received_at", grace)) | ((F.col("status") == "processing") & old("processing_started_at", stale)))
+
+
+def recoverable(raw: DataFrame, as_of: Column, after_id: int = 0, page: int = 5000, grace: int = 60, stale: int = 600) -> DataFrame:
+    """A page of ``waiting`` records, by id."""
+    return waiting(raw, as_of, grace, stale).where(F.col("id") > after_id).orderBy("id").limit(page)

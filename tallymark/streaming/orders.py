@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tallymark.operators import events, ingest, retries, rules
-from tallymark.operators.staging import recoverable
+from tallymark.operators.staging import waiting
 from tallymark.sources.manifest import Manifest, Version
 from tallymark.sources.store import stored
 
@@ -162,15 +162,21 @@ def replay(raw: DataFrame, status: DataFrame, ids: DataFrame | None = None, stat
 
 
 def recovery_pages(raw: DataFrame, as_of, page: int = 5000, **limits: int) -> Iterator[DataFrame]:
-    """Pages of records to work on again, by id, until none is left: each is a bounded piece of work."""
-    after = None
-    while True:
-        some = recoverable(raw, as_of, *([] if after is None else [after]), page=page, **limits)
-        last = some.agg(F.max("id")).first()[0]
-        if last is None:
-            return
-        yield some
-        after = last
+    """Pages of records to work on again, by id (unique): each is a bounded piece of work. The table is read once: what waits is
+    stored in order of ids, a record's page follows from its place there, and a page reads the row groups of its own ids. The
+    driver sees two numbers a file and two a page."""
+    todo = stored(waiting(raw, as_of, **limits).repartitionByRange("id").sortWithinPartitions("id"), "recovery")
+    rows = todo.select("id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before, offsets = 0, []
+    for file, n in sorted(tuple(r) for r in rows.groupBy("file").count().collect()):
+        offsets.append((file, before))
+        before += n
+    if not before:
+        return
+    place = rows.join(F.broadcast(raw.sparkSession.createDataFrame(offsets, "file string, _before bigint")), "file")  # a row a file
+    pages = place.groupBy(F.floor((F.col("_before") + F.col("row")) / page).alias("page")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    for r in pages.orderBy("page").collect():
+        yield todo.where(F.col("id").between(r["low"], r["high"])).orderBy("id")
 
 
 def over_limit(requests: DataFrame, client: str, at: str, limit: int, window: str = "1 minute") -> DataFrame:

@@ -168,6 +168,36 @@ def test_recovery_page_and_thresholds(spark):
     assert [[r["id"] for r in page.collect()] for page in S.recovery_pages(raw, F.lit(now), page=1)] == [[2], [3]]
 
 
+def test_recovery_pages_read_the_table_once(spark, tmp_path):
+    now = dt.datetime(2024, 1, 1, 12)
+    path = f"{tmp_path}/raw"
+    spark.range(1000).selectExpr("id * 7 % 1000 AS id", "if(id % 3 = 0, 'processed', 'pending') AS status", "timestamp '2024-01-01 10:00:00' AS received_at", "CAST(NULL AS timestamp) AS processing_started_at").repartition(5).write.parquet(path)
+    raw = spark.read.parquet(path)
+    want = sorted(r["id"] for r in raw.where("status = 'pending'").collect())
+    pages = S.recovery_pages(raw, F.lit(now), page=70)
+    first = [r["id"] for r in next(pages).collect()]
+    for f in (tmp_path / "raw").glob("*.parquet"):
+        f.unlink()  # it is not needed any more
+    got = [first, *[[r["id"] for r in p.collect()] for p in pages]]
+    assert [x for p in got for x in p] == want and {len(p) for p in got[:-1]} == {70}
+    assert list(S.recovery_pages(raw.sparkSession.createDataFrame([], raw.schema), F.lit(now))) == []
+
+
+def test_data_tests_in_one_pass(spark):
+    """The outcomes are those of each test alone, with a query a table."""
+    a = spark.createDataFrame([(1, "x", 5), (2, None, -1), (2, "q", 7)], "id int, kind string, n int")
+    b = spark.createDataFrame([(1, 1), (1, 2)], "id int, part int")
+    checks = [*runner._keys("a", "id", "kind"), runner._one_of("a", "kind", "x", "y", severity="warn"), runner._rule("a", "n > 0"), runner._grain("b", "id", "part"), runner._unique("b.id unique", "b", "id"), *runner._filled("b", "part"), runner._grain("b", "part", "id"), runner._link("a", "id", "b")]
+    tables = {"a": a, "b": b}
+    spark.sparkContext.setJobGroup("fused", "")
+    got = runner.broken(tables, checks)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fused"))
+    spark.sparkContext.setJobGroup("alone", "")
+    assert got == {c.name for c in checks if not c.rows(tables).isEmpty()} == {"a.id unique", "a.kind not null", "a.kind accepted", "a: n > 0", "b.id unique", "a.id in b"}
+    assert jobs < len(spark.sparkContext.statusTracker().getJobIdsForGroup("alone"))
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_try_all_reports_every_failure():
     ran = []
     with pytest.raises(ExceptionGroup):
