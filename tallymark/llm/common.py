@@ -71,14 +71,16 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-#: Words of a bitmap of keys: its size, whatever the number of keys.
-FILTER = 1 << 18
+#: Words of a bitmap of keys: at most so many (a broadcast of some 100 MB), which are 16 bits a key for 16 million keys.
+FILTER = 1 << 22
 
 
 def maybe_in(df: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
-    """df with ``maybe``: false where ``keys`` surely lacks the row's key. FILTER words of 64 bits at most are broadcast,
-    so rows that a join does not concern need not be shuffled for it; with very many keys more of them say maybe."""
-    word, bit = F.pmod(F.xxhash64(*key), F.lit(FILTER)).cast("int"), F.pmod(F.xxhash64(*key[::-1], F.lit(1)), F.lit(64)).cast("int")
+    """df with ``maybe``: false where ``keys`` surely lacks the row's key. A bitmap of 16 bits a key is broadcast, so of the
+    rows that a join does not concern one in sixteen is shuffled for it. Beyond FILTER words it grows no more, and more of
+    these rows say maybe: the join is as right, what it moves comes nearer to all rows."""
+    words = 1 << max(10, min(FILTER.bit_length() - 1, (keys.count() // 4).bit_length()))
+    word, bit = F.pmod(F.xxhash64(*key), F.lit(words)).cast("int"), F.pmod(F.xxhash64(*key[::-1], F.lit(1)), F.lit(64)).cast("int")
     mark = F.expr("shiftleft(1L, _bit)")
     marks = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(mark).alias("_marks"))
     marked = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(marks), "_word", "left")
