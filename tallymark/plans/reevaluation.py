@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import contracts as C
 from tallymark.operators import events as E
 from tallymark.operators import rules
+from tallymark.sources.manifest import Manifest, Version
 from tallymark.sources.store import stored
 
 
@@ -58,3 +59,20 @@ def reevaluate(orders: DataFrame, log: DataFrame, path: str, event_at: Column, d
     if not dry_run:
         commit(planned, path)
     return planned
+
+
+def reevaluate_landed(spark: SparkSession, root: str, event_at: Column, limit: int | None = None, expect_version: str | None = None, **limits: int) -> Version:
+    """Re-evaluates the orders landed in the manifest at ``root`` and commits the events to its log. What is planned holds for one
+    version of orders and log alone: if anything else was committed since, it is planned anew. No events, no commit."""
+    m = Manifest(spark, root)
+
+    def work(v: Version) -> dict | None:
+        planned = plan(m.table("orders", v), m.table("quality_events", v), event_at, limit, expect_version, **limits)
+        counts = planned.counts.first().asDict()
+        if not counts["promoted"] + counts["re_quarantined"]:
+            return None
+        rows = planned.events.withColumn("id", F.xxhash64("raw_id", "event_at", "to_state"))
+        like = m.table("quality_events", v).schema.names
+        return {"add": {"quality_events": m.write("quality_events", rows.select(*like))}, "writer": "reevaluation", "counts": counts}
+
+    return m.transact(work)

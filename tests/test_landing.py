@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import retries
+from tallymark.plans import reevaluation as V
 from tallymark.sources.manifest import Conflict, Manifest
 from tallymark.streaming import orders as S
 
@@ -131,3 +132,28 @@ def test_attempts_and_dead_letters(spark, tmp_path):
     assert sorted((r["error_class"], r["attempt"]) for r in m.table("dead_letters").collect()) == [("DataError", 1), ("OperationalError", 3)]
     got = {(r["outcome"], r["error_class"], r["attempt"]): r["records"] for r in retries.attempts_by_class(m).collect()}
     assert got == {("done", None, 1): 1, ("dead", "DataError", 1): 1, ("retry", "OperationalError", 1): 2, ("retry", "OperationalError", 2): 2, ("done", None, 3): 1, ("dead", "OperationalError", 3): 1}
+
+
+def test_re_evaluation_of_what_landed(spark, tmp_path, monkeypatch):
+    """Events planned against a log that another writer has moved on are planned anew, and a second run adds none."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('{"order_id": "A", "customer": {"age": 200}}\n{"order_id": "B", "customer": {"age": 300}}\n{"order_id": "C"}\n')
+    root = f"{tmp_path}/out"
+    S.land_stream(S.documents_in(spark, str(tmp_path / "in")), root, f"{tmp_path}/checkpoint").awaitTermination()
+    m, write, raced = Manifest(spark, root), Manifest.write, []
+    log = m.table("quality_events")
+    rejected = log.where("order_id = 'B'").withColumns({"id": F.lit(99).cast("bigint"), "event_type": F.lit("manual_rejection"), "from_state": F.col("to_state"), "to_state": F.lit("permanently_rejected"), "event_at": F.expr("event_at + interval 1 hour")})
+
+    def late(self, name, df):
+        if not raced:
+            raced.append(self.commit(self.version(), {name: write(self, name, rejected)}, writer="human"))
+        return write(self, name, df)
+
+    monkeypatch.setattr(Manifest, "write", late)
+    at = F.lit(dt.datetime(2030, 1, 1))
+    v = V.reevaluate_landed(spark, root, at, age_high=400)
+    monkeypatch.undo()
+    added = m.table("quality_events", v).where("event_at >= '2030-01-01'").collect()
+    assert [(r["order_id"], r["from_state"], r["to_state"]) for r in added] == [("A", "quarantined", "promoted")]  # B: a human was faster
+    assert m.history()[-1]["attempts"] == 2 and m.history()[-1]["counts"]["promoted"] == 1
+    assert V.reevaluate_landed(spark, root, at, age_high=400).number == v.number
