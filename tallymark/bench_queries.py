@@ -677,3 +677,18 @@ def stored_lookup(spark, d):
     staging.overwrite_all(o, path, "at", ["id"], look_up={"customer": 10_000})
     t = spark.read.parquet(path)
     return staging.lookup(t, "id", 7, 77, 777, 12345).union(staging.lookup(t, "customer", 11, 13)).distinct().select("id", "customer", F.to_date("at").alias("day"))
+
+
+@query("SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day, count(*) AS n FROM events GROUP BY 1")
+def compact_days(spark, d):
+    """Days written as eight digits, some of which name no day."""
+    text = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("20240230"), F.lit("2024-1-1"), F.lit(""), F.lit("2024010"))[(F.col("event_id") % 4).cast("int")]).otherwise(F.date_format("ts", "yyyyMMdd"))
+    return table(spark, d, "events").groupBy(X.compact_day(text).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '"nan"' WHEN 1 THEN '"inf"' WHEN 2 THEN '"-inf"' WHEN 3 THEN NULL ELSE CAST(user_id AS VARCHAR) || '.0' END AS rendered FROM events""")
+def rendered_numbers(spark, d):
+    """Numbers as JSON, with those that are not finite as texts."""
+    k = F.col("event_id") % 5
+    number = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 4, F.col("user_id").cast("double"))
+    return table(spark, d, "events").select("event_id", X.number_json(number).alias("rendered"))

@@ -44,6 +44,17 @@ def non_finite(c: Column) -> Column:
     return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
 
 
+def compact_day(c: Column) -> Column:
+    """The date that eight digits name (year, month, day); null for any other text."""
+    return F.when(c.rlike(r"^\d{8}$"), F.try_to_timestamp(c, F.lit("yyyyMMdd")).cast("date"))
+
+
+def number_json(c: Column) -> Column:
+    """A number as JSON, which has no words for what is not finite: these become texts. Null stays null."""
+    name = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.when(name.isNotNull(), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(c.cast("string"))
+
+
 def key_pairs(c: Column) -> Column:
     """'k1:c1,k2:c2' -> map; malformed parts are left out, the last of equal keys counts."""
     parts = F.transform(F.split(c, ","), lambda p: F.split(p, ":", 2))

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tallymark import contracts as C
 from tallymark.operators import events as E
@@ -247,11 +248,11 @@ def require_landed(offered: DataFrame, landed: DataFrame, key: str = "batch", le
         raise CheckFailed(f"landing: {said}{' ...' * (len(some) == 20)}")
 
 
-def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None, days: Days | None = None, gate: Callable[[], None] | None = None) -> tuple[Tables, dict[str, str]]:
+def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None = None, days: Days | None = None, gate: Callable[[], None] | None = None, keep_from: dt.date | None = None) -> tuple[Tables, dict[str, str]]:
     """Builds every layer under ``root`` and tests it before the next. Returns the tables and each test's outcome;
     raises CheckFailed after all of a layer's tests ran, if one of severity error found rows. With ``days`` the
     incremental tables replace these days only; a run over late rows then equals a full one. A ``gate`` (``require_landed``)
-    is asked before anything is built."""
+    is asked before anything is built. When all tests have passed, the stored days before ``keep_from`` are deleted."""
     tables, outcome = dict(tables), {}
     if gate is not None:
         gate()
@@ -266,6 +267,12 @@ def run(spark: SparkSession, tables: Tables, root: str, plan: list[Layer] | None
                 failed += [check.name] if check.severity == "error" else []
         if failed:
             raise CheckFailed(f"{layer.name}: {'; '.join(failed)}")
+    if keep_from is not None:
+        for name in [n for n in tables if n in BY_DAY or n in INCREMENTAL]:
+            day = BY_DAY.get(name) or INCREMENTAL[name][3]
+            if staging_days.expire_days(spark, f"{root}/{name}", keep_from, day):
+                out = spark.read.schema(tables[name].schema if day in tables[name].columns else StructType([*tables[name].schema, StructField(day, DateType())])).parquet(f"{root}/{name}")
+                tables[name] = out.select(*tables[name].columns)
     return tables, outcome
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from tallymark.operators import events, ingest, retries, rules
+from tallymark.operators import distributions, events, ingest, retries, rules
 from tallymark.operators.staging import waiting
 from tallymark.sources.manifest import Manifest, Version
 from tallymark.sources.store import stored
@@ -153,6 +153,15 @@ class LandingMetrics(StreamingQueryListener):
             self.batches.append({"batch": p.batchId, "seconds": p.batchDuration / 1000, "state_rows": sum(s.numRowsTotal for s in p.stateOperators), "state_bytes": sum(s.memoryUsedBytes for s in p.stateOperators)})
 
 
+def commit_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """(writer, le, n, total, records, duplicates, errors, retries): how long each writer's commits took, in fixed buckets, and what
+    they counted. The log has an entry a commit."""
+    rows = [(h["writer"], float(h["seconds"] or 0), h["attempts"] - 1, *(h["counts"].get(k, 0) for k in ("records", "duplicate", "error"))) for h in Manifest(spark, root).history()]
+    log = spark.createDataFrame(rows, "writer string, seconds double, retries bigint, records bigint, duplicates bigint, errors bigint")
+    sums = log.groupBy("writer").agg(*[F.sum(c).alias(c) for c in ("records", "duplicates", "errors", "retries")])
+    return distributions.histogram(log, ["writer"], "seconds").join(sums, "writer")
+
+
 def replay(raw: DataFrame, status: DataFrame, ids: DataFrame | None = None, statuses: Iterable[str] = ()) -> DataFrame:
     """The raw records to process again: those with the ids (``id``), and those whose status is one of ``statuses``."""
     wanted = status.where(F.col("status").isin(*statuses)).select(F.col("raw_id").alias("id"))

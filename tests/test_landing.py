@@ -100,6 +100,8 @@ def test_every_line_keeps_a_status(spark, tmp_path):
     assert [r["raw_payload"] for r in S.replay(raw, read("status"), statuses=["error"]).collect()] == ["{bad", "{bad"]
     assert S.replay(raw, read("status"), read("status").where("order_id = 'B'").select(F.col("raw_id").alias("id"))).count() == 1
     counts = [h["counts"] for h in Manifest(spark, f"{tmp_path}/out").history()]
+    metrics = S.commit_metrics(spark, f"{tmp_path}/out").collect()
+    assert {(m["writer"], m["total"], m["records"], m["duplicates"], m["errors"], m["retries"]) for m in metrics} == {("landing", 2, 8, 4, 2, 0)} and sum(m["n"] for m in metrics) == 2
     assert counts == [{"records": 6, "processed": 1, "duplicate": 3, "error": 2}, {"records": 2, "processed": 1, "duplicate": 1}]
     until = time.time() + 20
     while len(seen.batches) < 2 and time.time() < until:
