@@ -296,12 +296,17 @@ def _batch(some: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 def lookup(manifest: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The ids of the wanted documents (``id_column`` of keys): each shard is asked for the keys of its range."""
-    wanted = keys.select(F.col(f"`{id_column}`").cast("bigint").alias("want")).where("want is not null").distinct()
-    ranges = manifest.where(F.length("last_key") > 0)  # the table of shards is small beside any set of keys
     number = lambda c: F.conv(F.hex(c), 16, 10).cast("decimal(20,0)")
-    shifted = F.col("want").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     low = F.when(F.length("first_key") > 0, number("first_key")).otherwise(F.lit(0).cast("decimal(20,0)"))
-    hits = wanted.join(ranges, (shifted >= low) & (shifted <= number("last_key")))
+    ranges = manifest.where(F.length("last_key") > 0).select("file", low.alias("low"), number("last_key").alias("high"))
+    # the range of all keys in four bins a shard: a shard is met in the bins of its own range, a key in one
+    shards, least, most = ranges.agg(F.count(F.lit(1)), F.min("low"), F.max("high")).first()
+    width = -(-(int(most or 0) - int(least or 0) + 1) // (4 * max(1, shards)))
+    bin_of = lambda c: F.floor((F.col(c) - F.lit(str(int(least or 0))).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("bigint")
+    binned = ranges.withColumn("bin", F.explode(F.sequence(bin_of("low"), bin_of("high"))))
+    wanted = keys.select(F.col(f"`{id_column}`").cast("bigint").alias("want")).where("want is not null").distinct()
+    wanted = wanted.withColumn("at", F.col("want").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).withColumn("bin", bin_of("at"))
+    hits = wanted.join(binned, "bin").where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file, source = None, None
