@@ -671,10 +671,10 @@ def contract_days(spark, d):
 
 @query("SELECT o_orderkey AS id, o_custkey AS customer, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey IN (7, 77, 777, 12345) OR o_custkey IN (11, 13)")
 def stored_lookup(spark, d):
-    """Orders stored by day, clustered by their id, with Bloom filters of their customers: looked up by either."""
+    """Orders stored by year, clustered by their id, with Bloom filters of their customers: looked up by either."""
     path = _new(spark, "lookup")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("at"))
-    staging.overwrite_all(o, path, "at", ["id"], look_up={"customer": 10_000})
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("at"), F.trunc("o_orderdate", "year").alias("year"))
+    staging.overwrite_all(o, path, "year", ["id"], look_up={"customer": 10_000})
     t = spark.read.parquet(path)
     return staging.lookup(t, "id", 7, 77, 777, 12345).union(staging.lookup(t, "customer", 11, 13)).distinct().select("id", "customer", F.to_date("at").alias("day"))
 

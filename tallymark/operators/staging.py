@@ -112,26 +112,31 @@ GRID = 1000
 
 
 def clustered(df: DataFrame, day: str, cluster: list[str], file_bytes: int) -> DataFrame:
-    """df in a partition a file to write: each day in as many as its own bytes ask for, by ranges of the first cluster key
-    whose bounds are quantiles of the day (a sketch); rows of a key that fills several files are spread over these, by its
-    share of each. The driver sees a row a day, tasks a bound a file."""
+    """df in a partition a file to write, but for small days, which share one: each day in as many as its own bytes ask for, by
+    ranges of the first cluster key whose bounds are quantiles of the day (a sketch); rows of a key that fills several files
+    are spread over these, by its share of each. The driver sees a row a day, tasks a bound a file."""
     rows = df.withColumn("_key", F.coalesce(_ordinal(df, cluster[0]), F.lit(float("-inf"))))
-    parts = F.greatest(F.lit(1), F.ceil(F.sum(row_bytes(df)) / file_bytes)).cast("int")
-    days = rows.groupBy(day).agg(parts.alias("n"), F.kll_sketch_agg_double("_key", 8000).alias("_sketch"))
+    size = F.sum(row_bytes(df))
+    days = rows.groupBy(day).agg(size.alias("size"), F.greatest(F.lit(1), F.ceil(size / file_bytes)).cast("int").alias("n"), F.kll_sketch_agg_double("_key", 8000).alias("_sketch"))
     grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
-    days = days.select(day, "n", F.kll_sketch_get_quantile_double("_sketch", grid).alias("_grid")).orderBy(day).collect()  # a row a day
-    spark, first, found = df.sparkSession, 0, []
+    days = days.select(day, "size", "n", F.when(F.col("n") > 1, F.kll_sketch_get_quantile_double("_sketch", grid)).alias("_grid")).orderBy(day).collect()  # a row a day
+    spark, parts, room, found = df.sparkSession, 0, 0, []
     for d in days:
-        grid, n = d["_grid"], d["n"]
+        grid, n = d["_grid"] or [], d["n"]
+        if n == 1 and d["size"] <= room:  # small days share a task, which writes a file for each
+            room -= d["size"]
+            found.append((d[day], parts - 1, n, [], []))
+            continue
         frequent = {k: (grid.index(k) * n / GRID, (GRID - 1 - grid[::-1].index(k)) * n / GRID) for k, times in Counter(grid).items() if times > 1}
-        found.append((d[day], first, n, [grid[max(0, round(i * GRID / n) - 1)] for i in range(1, n)], [(k, *ends) for k, ends in frequent.items()]))
-        first += n
+        found.append((d[day], parts, n, [grid[max(0, round(i * GRID / n) - 1)] for i in range(1, n)], [(k, *ends) for k, ends in frequent.items()]))
+        parts += n
+        room = file_bytes - d["size"] if n == 1 else 0
     table = spark.createDataFrame(found, f"_day {dict(df.dtypes)[day]}, _first int, _n int, _bounds array<double>, _frequent array<struct<k:double,low:double,high:double>>")
     own, draw = F.get(F.filter("_frequent", lambda f: f["k"] == F.col("_key")), F.lit(0)), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
     within = F.least(F.floor(own["low"] + draw * (own["high"] - own["low"])), F.col("_n") - 1)
     nth = F.when(own.isNull(), F.size(F.filter("_bounds", lambda b: b < F.col("_key")))).otherwise(within)
     placed = rows.join(F.broadcast(table), F.col(f"`{day}`").eqNullSafe(F.col("_day"))).withColumn("_file", (F.col("_first") + nth).cast("int"))
-    return placed.repartitionById(max(1, first), F.col("_file")).sortWithinPartitions(day, *cluster).select(*df.columns)
+    return placed.repartitionById(max(1, parts), F.col("_file")).sortWithinPartitions(day, *cluster).select(*df.columns)
 
 
 def expire_days(spark: SparkSession, path: str, before: dt.date, day: str = "day") -> list[dt.date]:
