@@ -31,7 +31,7 @@ from tallymark.llm.common import PLACE, placed
 
 SAMPLES = 40
 #: About so many documents make a bucket, up to so many buckets.
-BUCKET_DOCS, BUCKETS = 512, 1 << 16
+BUCKET_DOCS, BUCKETS = 512, 1 << 14
 
 
 def word_hashes(text: Column) -> Column:
@@ -112,7 +112,7 @@ def bucket_of(key: Column, bounds: list[tuple[int, int, int]]) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    """A bucket for BUCKET_DOCS rows; BUCKETS at most, whose bounds are a few megabytes of every plan. Beyond that buckets
+    """A bucket for BUCKET_DOCS rows; BUCKETS at most, for whose bounds Spark samples 100 keys each in the driver. Beyond that buckets
     grow: their rows are sorted by Spark, which spills, and pass a window that looks one row ahead."""
     return max(1, min(-(-rows // BUCKET_DOCS), BUCKETS))
 
