@@ -27,7 +27,7 @@ def null_sentinels(c: Column, sentinels: Iterable[str] = SENTINELS) -> Column:
 
 
 def drop_nul(c: Column) -> Column:
-    return F.translate(c, "\x00", "")
+    return F.replace(c, F.lit("\x00"), F.lit(""))  # by bytes: ``translate`` looks at each character
 
 
 def too_long(c: Column, most: int) -> Column:
