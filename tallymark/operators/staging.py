@@ -86,15 +86,12 @@ def _writer(df: DataFrame, at: str, cluster: list[str], day: str, file_bytes: in
     return w
 
 
-_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
-
-
 def row_bytes(df: DataFrame) -> Column:
-    """About how many bytes a row's values are."""
-    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
-    fixed = sum(_WIDTH.get(t, 8) for _, t in df.dtypes if t not in ("string", "binary"))
+    """About how many bytes a row takes in a task that sorts it: a word for the nulls and one a column, whatever its type, texts in
+    whole words, and 32 for the row's length and its entries in the sort, of which there are two copies."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 7 for c, t in df.dtypes if t in ("string", "binary")]
     nested = [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 64 for c, t in df.dtypes if t.startswith(("array", "map"))]
-    return reduce(Column.__add__, [*wide, *nested], F.lit(fixed)).cast("bigint")
+    return reduce(Column.__add__, [*wide, *nested], F.lit(40 + 8 * len(df.columns))).cast("bigint")
 
 
 def _ordinal(df: DataFrame, column: str) -> Column:
