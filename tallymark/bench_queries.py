@@ -27,7 +27,7 @@ from tallymark.plans import reports as R
 from tallymark.sources import contract, generator
 from tallymark.sources.days_source import DayTables
 from tallymark.sources.manifest import Manifest
-from tallymark.sources.store import stage_root, stored
+from tallymark.sources.store import one_a_key, stage_root, stored
 from tallymark.streaming import orders as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,7 +431,7 @@ def payloads(spark, d):
     if (path := _WRITTEN.get((spark.sparkContext.applicationId, d))) is not None:
         return spark.read.parquet(path)
     each = items(spark, d).groupBy("raw_id").agg(F.sort_array(F.collect_list(F.struct("item_index", F.struct(F.struct("product_id").alias("product"), "quantity", F.col("unit_price").cast("double").alias("unit_price")).alias("i")))).alias("items"))
-    o = orders(spark, d).join(each, "raw_id", "left")
+    o = orders(spark, d).join(one_a_key(each), "raw_id", "left")
     k = F.col("raw_id")
     return o.select(
         k.alias("id"),
@@ -463,7 +463,7 @@ def order_documents(spark, d):
     """Every order of the table and its items as JSON, some of which the rules find fault with."""
     i = items(spark, d)
     each = F.struct("item_index", F.struct(F.struct("product_id").alias("product"), "quantity", *[F.col(c).cast("double").alias(c) for c in ("unit_price", "cost_price", "discount_pct", "shipping_fee")]).alias("i"))
-    o = orders(spark, d).join(i.groupBy("raw_id").agg(F.sort_array(F.collect_list(each)).alias("items")), "raw_id", "left")
+    o = orders(spark, d).join(one_a_key(i.groupBy("raw_id").agg(F.sort_array(F.collect_list(each)).alias("items"))), "raw_id", "left")
     k = F.col("raw_id")
     tax = F.when(k % 7 == 0, 120.0).otherwise(F.when(k % 2 == 0, 5.0))
     return o.select(
@@ -503,7 +503,7 @@ def stream_ingest(spark, d):
         S.land_stream(S.documents_in(spark, f"{root}/in", maxFilesPerTrigger="100"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     at = Manifest(spark, f"{root}/out").version()
     status, ods = S.landed(spark, f"{root}/out", "status", at), S.landed(spark, f"{root}/out", "orders", at).select("raw_id", "has_clean_error")
-    return status.join(ods, "raw_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_clean_error").alias("dirty"))
+    return status.join(one_a_key(ods), "raw_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_clean_error").alias("dirty"))
 
 
 @query("""SELECT CAST(v AS BIGINT) AS version, (SELECT count(*) FROM events WHERE event_id % 4 <= v) AS events, (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 4 = v) AS users, CASE WHEN v = 3 THEN 2 ELSE 1 END AS attempts FROM (SELECT unnest(range(0, 4)) AS v)""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark import contracts as C
 from tallymark.operators.rules import codes
+from tallymark.sources.store import one_a_key
 
 
 def initial_events(ods: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def with_effective_state(orders: DataFrame, events: DataFrame, key: str = "raw_i
     """orders with ``effective_quality_state``, ``quality_state_at`` and ``event_state`` (what the last event says, null if
     there is none); never a null effective state, never a lost order."""
     last = latest_event(events, key).select(key, F.col("to_state").alias("event_state"), F.col("event_at").alias("quality_state_at"))
-    df = orders.join(last, key, "left")
+    df = orders.join(one_a_key(last), key, "left")
     fine = F.coalesce(~F.col("has_clean_error") | (F.col("event_state") == C.PROMOTED), F.lit(False))
     state = (
         F.when(F.coalesce(~F.col("has_clean_error"), F.lit(False)), C.CLEAN)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark import contracts as C
 from tallymark.functions.text import amount, discounted
 from tallymark.operators.events import keep_latest
+from tallymark.sources.store import one_a_key
 
 
 def known(c: str | Column) -> Column:
@@ -43,7 +44,7 @@ def order_items(orders: DataFrame) -> DataFrame:
 
 def fct_order_items(items: DataFrame, orders: DataFrame) -> DataFrame:
     own = orders.select("raw_id", "customer_id")
-    df = items.join(own, "raw_id", "left")
+    df = items.join(one_a_key(own), "raw_id", "left")
     return df.select(
         F.format_string("%s-%03d", "order_id", "item_index").alias("order_item_key"), "order_id", "item_index", "order_date",
         known("product_id").alias("product_id"), known("customer_id").alias("customer_id"),
@@ -72,7 +73,7 @@ COUNTERS = ("item_count", "items_missing_amount", "items_missing_cost", "items_m
 
 def with_rollup(orders: DataFrame, items: DataFrame, key: str = "order_id") -> DataFrame:
     """orders with their items' rollup; an order without items stays, with counts of zero and null sums."""
-    df = orders.join(item_rollup(items, key), key, "left")
+    df = orders.join(one_a_key(item_rollup(items, key)), key, "left")
     return df.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in COUNTERS})
 
 

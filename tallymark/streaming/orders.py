@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from tallymark.operators import distributions, events, ingest, retries, rules
 from tallymark.operators.staging import waiting
 from tallymark.sources.manifest import Manifest, Version
-from tallymark.sources.store import stored
+from tallymark.sources.store import one_a_key, stored
 
 
 def documents_in(spark: SparkSession, folder: str, **options: str) -> DataFrame:
@@ -28,6 +28,8 @@ def read_once(source: DataFrame) -> DataFrame:
     return ingest.drift(ingest.flatten(ingest.parse(source))).drop("v", "odd")
 
 
+#: Ids of new orders that a batch sends to all tasks; more of them are joined by a shuffle of the batch.
+BROADCAST_ROWS = 100_000
 #: A record's id holds its batch, its file in the batch and its row in the file.
 _FILE_BITS, _ROW_BITS = 14, 27
 
@@ -55,10 +57,10 @@ def judge(batch: DataFrame) -> DataFrame:
     (received_at, id) is processed, all other readable records are duplicates."""
     records = batch.where("not new")
     first = records.where("status = 'processed'").groupBy("order_id").agg(F.min(F.struct("received_at", "id")).alias("first"))
-    won = first.join(batch.where("new").select("order_id"), "order_id", "left_semi").select(F.col("first.id").alias("id"), F.lit(True).alias("won"))
+    won = first.join(one_a_key(batch.where("new").select("order_id")), "order_id", "left_semi").select(F.col("first.id").alias("id"), F.lit(True).alias("won"))
     status = F.when(F.col("status") == "error", "error").when(F.col("won"), "processed").otherwise("duplicate")
     message = F.when(status == "duplicate", F.concat(F.lit("already landed: "), "order_id")).otherwise(F.col("error_message"))
-    return records.join(won, "id", "left").select("id", "file", "row", "order_id", status.alias("status"), message.alias("error_message"))
+    return records.join(one_a_key(won), "id", "left").select("id", "file", "row", "order_id", status.alias("status"), message.alias("error_message"))
 
 
 def land_batch(batch: DataFrame, number: int, root: str, schema: StructType, work: retries.Work | None = None) -> None:
@@ -71,11 +73,12 @@ def land_batch(batch: DataFrame, number: int, root: str, schema: StructType, wor
         return
     keys = batch.where("new").withColumn("id", F.lit(None).cast("bigint"))
     judged = stored(judge(_numbered(batch.where("not new"), files, number).unionByName(keys)), "judged-batch")
+    counts = {r[0]: r[1] for r in judged.groupBy("status").count().collect()}
     won = judged.where("status = 'processed'").select("id")
+    won = F.broadcast(won) if counts.get("processed", 0) <= BROADCAST_ROWS else one_a_key(won)
     rows = spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     good = _numbered(rows.where("status = 'processed'"), files, number).join(won, "id", "left_semi").drop("file", "row", "raw_payload", "status", "error_message")
     ods = rules.evaluate(rules.normalise(good.withColumnRenamed("id", "raw_id")), F.col("received_at")).withColumn("id", F.col("raw_id"))
-    counts = {r[0]: r[1] for r in judged.groupBy("status").count().collect()}
 
     def plan(v: Version) -> dict | None:
         if v.writers.get("landing", -1) >= number:
@@ -132,7 +135,7 @@ def landed(spark: SparkSession, root: str, table: str, version: Version | None =
 def raw_records(spark: SparkSession, root: str) -> DataFrame:
     """(id, received_at, raw_payload) of every landed record."""
     rows = spark.read.parquet(f"{root}/bronze").select("received_at", "raw_payload", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return rows.join(landed(spark, root, "status").select(F.col("raw_id").alias("id"), "file", "row"), ["file", "row"]).select("id", "received_at", "raw_payload")
+    return rows.join(one_a_key(landed(spark, root, "status").select(F.col("raw_id").alias("id"), "file", "row")), ["file", "row"]).select("id", "received_at", "raw_payload")
 
 
 class LandingMetrics(StreamingQueryListener):
