@@ -56,7 +56,10 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("odd", StringType())]))
 def _repair(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repair(t) for t in texts], columns=["text", "odd"], dtype=object)
+    found = pd.DataFrame(None, index=texts.index, columns=["text", "odd"], dtype=object)
+    for i in texts.index[texts.notna()]:  # nearly always none
+        found.loc[i] = repair(texts[i])
+    return found
 
 
 def parse(raw: DataFrame, payload: str = "raw_payload") -> DataFrame:
@@ -138,35 +141,45 @@ def _read(x: Column, s: Column, to: str) -> Column:
     return F.when((k == "string") & text.rlike(_DAY), text.try_cast("date"))
 
 
-def flatten(parsed: DataFrame) -> DataFrame:
-    """parsed (with ``v`` and ``odd``) to flat columns, ``items`` (array of VARIANT), ``status`` and ``error_message``."""
-    v, fits = F.col("v"), F.col("_fits")
+def flatten(parsed: DataFrame, keep_schema: bool = False) -> DataFrame:
+    """parsed (with ``v`` and ``odd``) to flat columns, ``items`` (array of VARIANT), ``status`` and ``error_message``; if asked also
+    ``_schema`` and ``_plain``, which spare ``drift`` a second look through every document."""
+    v, fits, odd = F.col("v"), F.col("_fits"), F.col("odd")
     key = {name: path.removeprefix("$.") for name, (path, _) in C.FLAT.items()}
-    # in steps, so that each value is taken from the document once and read once
+    # in steps, so that each value is taken from the document once and read once; what only a document that does not fit
+    # needs is one array, so a row has few columns to copy from step to step
+    place = {name: i for i, name in enumerate(("items", *C.FLAT))}
+    parts = F.array(at(v, "$.items"), *[at(v, path) for path, _ in C.FLAT.values()])
     df = parsed.withColumn("_s", F.schema_of_variant(v)).withColumn("_fits", F.coalesce(F.col("_s").rlike(contract_shape()), F.lit(False)))
-    df = df.select("*", F.when(fits, F.try_variant_get(v, "$", contract_struct())).alias("_f"), F.when(~fits, at(v, "$.items")).alias("_x_items"), *[F.when(~fits, at(v, path)).alias(f"_x_{name}") for name, (path, _) in C.FLAT.items()])
-    df = df.select("*", *[F.when(~fits, F.schema_of_variant(f"_x_{name}")).alias(f"_s_{name}") for name in ("items", *C.FLAT)])
+    df = df.select("*", F.when(fits, F.try_variant_get(v, "$", contract_struct())).alias("_f"), F.when(~fits, parts).alias("_x"))
+    df = df.withColumn("_k", F.transform("_x", F.schema_of_variant))
+    part, schema = lambda name: F.get("_x", F.lit(place[name])), lambda name: F.get("_k", F.lit(place[name]))
 
     def value(name: str, to: str) -> Column:
-        strict, lenient = F.col(f"_f.{key[name]}"), _read(F.col(f"_x_{name}"), F.col(f"_s_{name}"), to)
+        strict, lenient = F.col(f"_f.{key[name]}"), _read(part(name), schema(name), to)
         if to == "date":
             strict = F.when(strict.rlike(_DAY), strict.try_cast("date"))
         read = F.when(fits, strict).otherwise(lenient)
-        return (F.coalesce(odd_number(F.col("odd"), key[name]), read) if to == "double" else read).alias(name)
+        return (F.coalesce(odd_number(odd, key[name]), read) if to == "double" else read).alias(name)
 
     def unread(name: str, to: str) -> Column:
-        there = ~fits & F.col(f"_s_{name}").isNotNull() & (F.col(f"_s_{name}") != "VOID")
+        there = ~fits & schema(name).isNotNull() & (schema(name) != "VOID")
         if to == "date":
             there = there | fits & F.col(f"_f.{key[name]}").isNotNull()
         if to != "double":
-            there = there | odd_number(F.col("odd"), key[name]).isNotNull()
+            there = there | odd_number(odd, key[name]).isNotNull()
         return F.when(F.col(name).isNull() & there, F.lit(name))
 
-    items = F.when(fits, F.col("_f.items")).otherwise(F.try_variant_get("_x_items", "$", "array<variant>"))
+    def all_unread() -> Column:
+        """Of a document that fits and has no odd number only dates can be beyond reading."""
+        of = lambda dates: F.array_compact(F.array(*[unread(name, to) for name, (_, to) in C.FLAT.items() if to == "date" or not dates]))
+        return F.when(fits & odd.isNull(), of(True)).otherwise(of(False))
+
+    items = F.when(fits, F.col("_f.items")).otherwise(F.try_variant_get(part("items"), "$", "array<variant>"))
     df = df.select("*", *[value(name, to) for name, (_, to) in C.FLAT.items()], items.alias("items"))
-    df = df.withColumn("_unread", F.array_compact(F.array(*[unread(name, to) for name, (_, to) in C.FLAT.items()])))
-    listed = kind_named(F.col("_s_items")).isin("array", "null")
-    odd_items = F.when(fits, F.exists("items", F.is_variant_null)).otherwise(~listed | F.coalesce(F.exists("items", lambda i: ~F.schema_of_variant(i).startswith("OBJECT")), F.lit(False)))
+    df = df.withColumn("_unread", all_unread()).withColumn("_null_item", F.when(fits, F.exists("items", F.is_variant_null)))
+    listed = kind_named(schema("items")).isin("array", "null")
+    odd_items = F.when(fits, F.col("_null_item")).otherwise(~listed | F.coalesce(F.exists("items", lambda i: ~F.schema_of_variant(i).startswith("OBJECT")), F.lit(False)))
     message = (
         F.when(v.isNull(), "malformed JSON")
         .when(~F.col("_s").startswith("OBJECT"), "the payload is no object")
@@ -174,7 +187,8 @@ def flatten(parsed: DataFrame) -> DataFrame:
         .when(F.col("order_id").isNull(), "no order_id")
         .when(odd_items, "items that are no objects")
     )
-    df = df.select(*parsed.columns, *C.FLAT, "items", message.alias("error_message"))
+    kept = [F.col("_s").alias("_schema"), (fits & ~F.coalesce("_null_item", F.lit(False))).alias("_plain")] if keep_schema else []
+    df = df.select(*parsed.columns, *C.FLAT, "items", message.alias("error_message"), *kept)
     return df.withColumn("status", F.when(F.col("error_message").isNull(), "processed").otherwise("error"))
 
 
@@ -221,14 +235,16 @@ def drift(df: DataFrame) -> DataFrame:
     each = lambda x: F.coalesce(F.flatten(F.transform(F.try_variant_get(x, "$", "array<variant>"), item)), none)
     parts.append(let(at(v, "$.items"), lambda x: F.when(kind(x) == "array", each(x)).when(kind(x) != "null", other(x, F.lit("items"))).otherwise(none)))
     by_field = lambda a, b: F.when(a["field"] < b["field"], -1).when(a["field"] > b["field"], 1).otherwise(0)
-    df = df.withColumn("_schema", F.schema_of_variant(v))
-    fits = F.col("_schema").rlike(contract_shape()) & ~F.exists(F.try_variant_get(v, "$.items", "array<variant>"), F.is_variant_null)
-    look = F.col("_schema").startswith("OBJECT") & (~F.coalesce(fits, F.col("_schema").rlike(contract_shape())) | o.isNotNull())
+    if "_plain" not in df.columns:
+        df = df.withColumn("_schema", F.schema_of_variant(v))
+        shape = F.col("_schema").rlike(contract_shape())
+        df = df.withColumn("_plain", shape & ~F.coalesce(F.exists(F.try_variant_get(v, "$.items", "array<variant>"), F.is_variant_null), F.lit(False)))
+    look = F.col("_schema").startswith("OBJECT") & (~F.col("_plain") | o.isNotNull())
     found = F.when(look, F.array_sort(F.concat(*[p.cast(_FOUND) for p in parts]), by_field)).otherwise(none)
     df = df.withColumn("_found", found)
     extra = F.filter("_found", lambda e: e["code"] == C.UNEXPECTED_FIELD)
     return df.select(
-        *[c for c in df.columns if c not in ("_found", "_schema")],
+        *[c for c in df.columns if c not in ("_found", "_schema", "_plain")],
         (F.size("_found") > 0).alias("has_schema_drift"),
         F.when(F.size("_found") > 0, F.transform("_found", lambda e: F.struct(*[e[c].alias(c) for c in ("code", "field", "expected", "actual")]))).alias("schema_drift_message"),
         F.when(F.size(extra) > 0, F.transform(extra, lambda e: F.struct(e["field"].alias("field"), e["value"].alias("value")))).alias("unmapped_fields"),

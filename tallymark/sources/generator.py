@@ -85,10 +85,11 @@ def land(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw (id, received_at, raw_payload) to landed orders and their initial events: the batch form of the worker."""
     from tallymark.operators import events, ingest, rules
 
-    # the flat orders are stored: a filter on what was coerced would otherwise drag the whole reading of the JSON along
-    flat = stored(ingest.flatten(ingest.parse(raw)), "flat-orders")
-    good = flat.where("status = 'processed'").withColumnRenamed("id", "raw_id")
-    good = ingest.drift(events.first_write(good, "order_id", ["received_at", "raw_id"])).where("status = 'processed'")
-    ods = rules.evaluate(rules.normalise(good), F.col("received_at")).withColumn("id", F.col("raw_id")).drop("raw_payload", "v", "status", "error_message")
+    read = ingest.drift(ingest.flatten(ingest.parse(raw), keep_schema=True)).withColumnRenamed("id", "raw_id")
+    judged = rules.evaluate(rules.normalise(read), F.col("received_at")).drop("raw_payload", "v")
+    # Spark moves no filter below the number of the task: one on what was read from the JSON would read all of it once more
+    good = judged.withColumn("_task", F.spark_partition_id()).where("status = 'processed' and _task >= 0").drop("_task")
+    ods = events.first_write(good, "order_id", ["received_at", "raw_id"]).where("status = 'processed'")
+    ods = ods.withColumn("id", F.col("raw_id")).drop("status", "error_message")
     ods = stored(ods, "landed-orders")
     return ods, events.initial_events(ods)
