@@ -34,10 +34,16 @@ def with_amounts(items: DataFrame) -> DataFrame:
 def order_items(orders: DataFrame) -> DataFrame:
     """int_order_items: orders' ``items`` (array of VARIANT), one row each; what cannot be read as a number is null."""
     df = orders.select("raw_id", "order_id", "order_date", F.posexplode("items").alias("item_index", "_i"))
-    text = lambda path: F.try_variant_get("_i", path, "string")
-    scalar = lambda path: F.when(~F.schema_of_variant(F.try_variant_get("_i", path, "variant")).rlike("^(OBJECT|ARRAY)"), text(path))
-    product = [scalar(f"$.product.{f}").alias(f) for f in C.PRODUCT_FIELDS]
-    number = [text(f"$.{f}").try_cast("bigint" if f == "quantity" else "decimal(38,9)").alias(f) for f in C.ITEM_FIELDS]
+    texts = lambda fields: ",".join(f"{f}:string" for f in fields)
+    df = df.withColumn("_t", F.try_variant_get("_i", "$", f"struct<{texts(C.ITEM_FIELDS)},product:struct<{texts(C.PRODUCT_FIELDS)}>>"))  # an item is read once
+
+    def scalar(f: str) -> Column:
+        """The text of a field; of an object or a list none. Their texts open with a bracket, so only such are looked at again."""
+        text, nested = F.col(f"_t.product.{f}"), F.schema_of_variant(F.try_variant_get("_i", f"$.product.{f}", "variant")).rlike("^(OBJECT|ARRAY)")
+        return F.when(text.startswith("{") | text.startswith("["), F.when(~nested, text)).otherwise(text).alias(f)
+
+    product = [scalar(f) for f in C.PRODUCT_FIELDS]
+    number = [F.col(f"_t.{f}").try_cast("bigint" if f == "quantity" else "decimal(38,9)").alias(f) for f in C.ITEM_FIELDS]
     df = df.select("raw_id", "order_id", "order_date", "item_index", F.format_string("%d-%d", "raw_id", "item_index").alias("int_order_item_key"), *product, *number)
     return with_amounts(df)
 
