@@ -27,7 +27,7 @@ from tallymark.plans import reports as R
 from tallymark.sources import contract, generator
 from tallymark.sources.days_source import DayTables
 from tallymark.sources.manifest import Manifest
-from tallymark.sources.store import one_a_key, stage_root, stored
+from tallymark.sources.store import one_a_key, shuffles_dropped, stage_root, stored
 from tallymark.streaming import orders as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,8 +500,9 @@ def stream_ingest(spark, d):
     again = docs.where("id % 5 = 0").withColumn("raw_payload", F.regexp_replace("raw_payload", "^.", '{"ship_mode":"again",'))
     broken = docs.where("id % 11 = 0").withColumn("raw_payload", F.concat(F.lit("{"), F.substring("raw_payload", 1, 40)))
     for part in (twice(docs, 9), again.unionByName(twice(broken, 33))):
-        part.select(F.col("raw_payload").alias("value")).write.mode("append").text(f"{root}/in")
-        S.land_stream(S.documents_in(spark, f"{root}/in", maxFilesPerTrigger="100"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        with shuffles_dropped(spark):
+            part.select(F.col("raw_payload").alias("value")).write.mode("append").option("compression", "gzip").text(f"{root}/in")
+        S.land_stream(S.documents_in(spark, f"{root}/in", maxFilesPerTrigger="100", cleanSource="delete"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     at = Manifest(spark, f"{root}/out").version()
     status, ods = S.landed(spark, f"{root}/out", "status", at), S.landed(spark, f"{root}/out", "orders", at).select("raw_id", "has_clean_error")
     return status.join(one_a_key(ods), "raw_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_clean_error").alias("dirty"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from tallymark.operators import distributions, events, ingest, retries, rules
 from tallymark.operators.staging import waiting
 from tallymark.sources.manifest import Manifest, Version
-from tallymark.sources.store import one_a_key, stored
+from tallymark.sources.store import one_a_key, stored, stored_meanwhile
 
 
 def documents_in(spark: SparkSession, folder: str, **options: str) -> DataFrame:
@@ -28,8 +28,9 @@ def read_once(source: DataFrame) -> DataFrame:
     return ingest.drift(ingest.flatten(ingest.parse(source))).drop("v", "odd")
 
 
-#: Ids of new orders that a batch sends to all tasks; more of them are joined by a shuffle of the batch.
-BROADCAST_ROWS = 100_000
+#: Words of bits, a bit a record of a batch, that say in all tasks which records are new orders (some 130 MB at most); a batch of more
+#: records is shuffled.
+WORDS = 1 << 22
 #: A record's id holds its batch, its file in the batch and its row in the file.
 _FILE_BITS, _ROW_BITS = 14, 27
 
@@ -63,21 +64,34 @@ def judge(batch: DataFrame) -> DataFrame:
     return records.join(one_a_key(won), "id", "left").select("id", "file", "row", "order_id", status.alias("status"), message.alias("error_message"))
 
 
+def only_of(rows: DataFrame, ids: DataFrame, records: int) -> DataFrame:
+    """rows whose id is among the ids, of a batch of so many records. The rows are not shuffled: ids of a batch are dense, so bits
+    hold them."""
+    if records > 64 * WORDS:
+        return rows.join(one_a_key(ids), "id", "left_semi")
+    word, bit = F.shiftright("id", 6), F.col("id").bitwiseAND(F.lit(63)).cast("int")
+    marks = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_marks"))
+    return rows.withColumn("_word", word).join(F.broadcast(marks), "_word").where(F.getbit("_marks", bit) == 1).drop("_word", "_marks")
+
+
 def land_batch(batch: DataFrame, number: int, root: str, schema: StructType, work: retries.Work | None = None) -> None:
     """One micro-batch of ``with_new_keys`` into the manifest at ``root``: orders, events and a status for every record, in one
     commit. ``work`` may fail records (``retries``): these wait with their attempts or become dead letters."""
-    spark, m = batch.sparkSession, Manifest(batch.sparkSession, root)
-    batch = stored(batch, "landing-batch")  # the state is asked once
-    files = sorted(r[0] for r in batch.where("not new").select("file").distinct().collect())  # of one trigger
-    if not files:
-        return
-    keys = batch.where("new").withColumn("id", F.lit(None).cast("bigint"))
-    judged = stored(judge(_numbered(batch.where("not new"), files, number).unionByName(keys)), "judged-batch")
+    with stored_meanwhile(batch, "landing-batch") as batch:  # the state is asked once
+        files = sorted(r[0] for r in batch.where("not new").select("file").distinct().collect())  # of one trigger
+        if not files:
+            return
+        keys = batch.where("new").withColumn("id", F.lit(None).cast("bigint"))
+        with stored_meanwhile(judge(_numbered(batch.where("not new"), files, number).unionByName(keys)), "judged-batch") as judged:
+            _commit(judged, files, number, root, schema, work)
+
+
+def _commit(judged: DataFrame, files: list[str], number: int, root: str, schema: StructType, work: retries.Work | None) -> None:
+    spark, m = judged.sparkSession, Manifest(judged.sparkSession, root)
     counts = {r[0]: r[1] for r in judged.groupBy("status").count().collect()}
-    won = judged.where("status = 'processed'").select("id")
-    won = F.broadcast(won) if counts.get("processed", 0) <= BROADCAST_ROWS else one_a_key(won)
     rows = spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    good = _numbered(rows.where("status = 'processed'"), files, number).join(won, "id", "left_semi").drop("file", "row", "raw_payload", "status", "error_message")
+    good = _numbered(rows.where("status = 'processed'"), files, number)
+    good = only_of(good, judged.where("status = 'processed'").select("id"), sum(counts.values())).drop("file", "row", "raw_payload", "status", "error_message")
     ods = rules.evaluate(rules.normalise(good.withColumnRenamed("id", "raw_id")), F.col("received_at")).withColumn("id", F.col("raw_id"))
 
     def plan(v: Version) -> dict | None:
@@ -115,7 +129,7 @@ def land_stream(source: DataFrame, root: str, checkpoint: str, files_per_batch:
     starts, which judges the records of bronze and commits them; the second is returned, running. Orders seen before are kept in
     a RocksDB state store, offsets in ``checkpoint``."""
     spark, read = source.sparkSession, read_once(source)
-    read.writeStream.format("parquet").option("path", f"{root}/bronze").option("checkpointLocation", f"{checkpoint}/bronze").trigger(availableNow=True).start().awaitTermination()
+    read.writeStream.format("parquet").option("compression", "zstd").option("path", f"{root}/bronze").option("checkpointLocation", f"{checkpoint}/bronze").trigger(availableNow=True).start().awaitTermination()
     rows = spark.readStream.schema(read.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/bronze")
     provider, before = "spark.sql.streaming.stateStore.providerClass", None
     before = spark.conf.get(provider, None)
